@@ -9,8 +9,10 @@ from ..functions.ids import clean_review_id, nonblank
 from ..plans.registry import Registry
 from ..session import table
 from .baskets import item_pairs
+from .neardup import near_duplicate_records
 from .places import match_places
 from .survivors import surviving_records
+from .text import words
 
 R = Registry()
 
@@ -73,3 +75,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"member_id": (member, F.col("page_type") == "m"), "helpful": (votes, F.lit(0))}
     best = surviving_records(rows, clean_review_id(F.col("id")), fields, [F.col("crawled_at"), F.col("row_no")])
     return best.select(F.col("group").alias("review_id"), "member_id", F.col("helpful.yes").alias("helpful_yes"), F.col("helpful.total").alias("helpful_total"))
+
+
+@R.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = table(spark, sf_dir, "reviews").select("id", "title", "reviewTxt")
+    both = words(F.concat_ws(" ", "title", "reviewTxt"))
+    pairs = near_duplicate_records(reviews, clean_review_id(F.col("id")), both, F.size(words(F.col("reviewTxt"))) >= 30)
+    return pairs.select(F.col("key_a").alias("id_a"), F.col("key_b").alias("id_b"))
