@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_review_id, nonblank
 from ..plans.registry import Registry
-from ..session import table
+from ..session import checkpoint, table
 from .baskets import item_pairs
+from .language import declared, identify
+from .leakage import leaked_items
 from .neardup import near_duplicate_records
 from .places import match_places
 from .survivors import surviving_records
@@ -83,3 +85,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = words(F.concat_ws(" ", "title", "reviewTxt"))
     pairs = near_duplicate_records(reviews, clean_review_id(F.col("id")), both, F.size(words(F.col("reviewTxt"))) >= 30)
     return pairs.select(F.col("key_a").alias("id_a"), F.col("key_b").alias("id_b"))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
+@R.add("p9_leaked_items")
+def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evaluation item with the number of documents it leaked into, and the most words of it found in one."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "task", "text")
+    leaks = leaked_items(docs, "doc_id", "text", items, "item_id", "text").groupBy("item_id").agg(F.count("*").alias("documents"), F.max("matched").alias("most_words"))
+    return items.select("item_id", "task").join(leaks, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_words", F.lit(0)).alias("most_words"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "kind")
+    return identify(docs, "doc_id", "text", "lang", "source", "kind")
+
+
+@R.add("p10_passages")
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document with its language and confidence."""
+    return passages(spark, sf_dir)
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpoint(passages(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sum("n_words").alias("n")))
+    labels = table(spark, sf_dir, "documents").where(F.size(words(F.col("text"))) >= 8).select("doc_id", declared(F.col("lang")).alias("declared"))
+    several = found.groupBy("doc_id").agg(F.count("*").alias("langs"))
+    joined = found.join(labels, "doc_id").join(several, "doc_id")
+    return joined.where((F.col("langs") > 1) | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))).select("doc_id", "lang")
