@@ -12,6 +12,7 @@ from .baskets import item_pairs
 from .language import declared, identify
 from .leakage import leaked_items
 from .neardup import near_duplicate_records
+from .packing import pack, token_counts
 from .places import match_places
 from .survivors import surviving_records
 from .text import words
@@ -119,3 +120,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = found.groupBy("doc_id").agg(F.count("*").alias("langs"))
     joined = found.join(labels, "doc_id").join(several, "doc_id")
     return joined.where((F.col("langs") > 1) | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))).select("doc_id", "lang")
+
+
+@R.add("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (or part of one longer than a container) with its tokens and container of 2,048 tokens."""
+    counts = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pack(counts, "doc_id", "n_tokens", 2048).withColumnRenamed("size", "n_tokens")
