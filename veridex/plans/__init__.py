@@ -3,6 +3,6 @@
 
 def registries() -> list:
     """The registries of all core queries."""
-    from . import data_quality
+    from . import data_quality, graph_queries
 
-    return [data_quality.R]
+    return [data_quality.R, graph_queries.R]
