@@ -84,7 +84,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = table(spark, sf_dir, "reviews").select("id", "title", "reviewTxt")
     both = words(F.concat_ws(" ", "title", "reviewTxt"))
-    pairs = near_duplicate_records(reviews, clean_review_id(F.col("id")), both, words(F.col("title")), 30, 0.7)
+    pairs = near_duplicate_records(reviews, clean_review_id(F.col("id")), both, words(F.col("title")), ["title", "reviewTxt"], 30, 0.7)
     return pairs.select(F.col("key_a").alias("id_a"), F.col("key_b").alias("id_b"))
 
 
