@@ -102,8 +102,8 @@ def product_review_count(spark, sf_dir):
     return G.stat_or_degree(nodes, "id", F.lit(50), G.degrees(edges(spark, sf_dir), "p"), "n_reviews").select("id", "n_reviews")
 
 
-@R.add("badge_pivot", """with b as (select id, list_transform(coalesce(badges, []), x -> upper(trim(x))) as b from members)
-select id, len(list_filter(b, x -> contains(x, 'THE'))) > 0 as is_the, list_contains(b, 'VINE VOICE') as is_vine_voice, list_contains(b, 'TOP 500 REVIEWER') as is_top_500_reviewer from b""")
+@R.add("badge_pivot", """with b as (select id, list_transform(coalesce(badges, []), lambda x: upper(trim(x))) as b from members)
+select id, len(list_filter(b, lambda x: contains(x, 'THE'))) > 0 as is_the, list_contains(b, 'VINE VOICE') as is_vine_voice, list_contains(b, 'TOP 500 REVIEWER') as is_top_500_reviewer from b""")
 def badge_pivot(spark, sf_dir):
     m = table(spark, sf_dir, "members").select("id", "badges")
     return G.badge_flags(m, "badges", ["VINE VOICE", "TOP 500 REVIEWER"]).drop("badges")
