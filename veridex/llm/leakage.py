@@ -17,7 +17,8 @@ GRAM = 4
 PASSAGE = 20  # words of an item from which a shared passage counts
 EDITS = 8  # one word in so many may be changed or left out
 RARE = 0.01  # share of documents up to which a gram is rare
-SEEDS = 3  # seeds on one diagonal band that make a candidate
+#: Runs that a passage of 20 words keeps beside two edits, less two: as many of an item on one band of diagonals, one of them a seed, make a candidate.
+HITS = PASSAGE - GRAM + 1 - GRAM * (PASSAGE // EDITS) - 2
 BAND = 16
 #: An alignment of a passage with its edited copy keeps at least this many words: PASSAGE less the edits, less one where an
 #: edit cuts the passage at its end.
@@ -85,7 +86,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
     Runs of four words are counted over all documents. Rare runs of an item are its seeds; where a window of 20 item words has too few
     rare runs for its edited copies to be found by (it is quoted widely, or made of stock phrases), all its runs are seeds, so no window is
-    without. Seeds join documents to items; three on one band of diagonals make a candidate, and Smith-Waterman
+    without. Seeds join documents to items; one with enough other runs of the item on its band of diagonals makes a candidate, and Smith-Waterman
     alignment of the item with that part of the document counts the words they share.
 
     Result: doc_id, item_id, matched INT (words aligned), spanned INT (item words from first to last), one row per pair whose best alignment
@@ -105,13 +106,14 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     window = W.partitionBy("item_id").orderBy("ipos")
     inside = PASSAGE - GRAM
     ahead = rated.withColumn("short", (F.sum("rare").over(window.rangeBetween(0, inside)) < F.least(F.lit(9), F.col("n"))).cast("int"))
-    seeds = ahead.withColumn("needed", F.max("short").over(window.rangeBetween(-inside, 0))).where("rare = 1 or needed = 1").select("item_id", "n", "ipos", "g")
-    joined = hits.join(small(seeds), "g")
-    diagonal = joined.withColumn("diag", F.col("dpos") - F.col("ipos"))
+    seeds = ahead.withColumn("needed", F.max("short").over(window.rangeBetween(-inside, 0))).select("item_id", "ipos", "g", ((F.col("rare") == 1) | (F.col("needed") == 1)).alias("seed"))
+    diagonal = hits.join(small(seeds), "g").withColumn("diag", F.col("dpos") - F.col("ipos"))
     half = BAND // 2
-    banded = diagonal.select("doc_id", "item_id", "ipos", "diag", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)).alias("band"))
-    counted = banded.groupBy("doc_id", "item_id", "band").agg(F.count_distinct("ipos").alias("seeds"), F.min("diag").alias("least"), F.max("diag").alias("most"))
-    candidates = checkpoint(counted.where(F.col("seeds") >= SEEDS).groupBy("doc_id", "item_id", F.floor(F.col("band") / 2).alias("part")).agg(F.min("least").alias("least"), F.max("most").alias("most")))
+    banded = diagonal.select("doc_id", "item_id", "ipos", "seed", "diag", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)).alias("band"))
+    once = banded.groupBy("doc_id", "item_id", "band", "ipos").agg(F.max("seed").alias("seed"), F.min("diag").alias("least"), F.max("diag").alias("most"))
+    counted = once.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("runs"), F.max("seed").alias("seed"), F.min("least").alias("least"), F.max("most").alias("most"))
+    found = counted.where(F.col("seed") & (F.col("runs") >= HITS))
+    candidates = checkpoint(found.groupBy("doc_id", "item_id", F.floor(F.col("band") / 2).alias("part")).agg(F.min("least").alias("least"), F.max("most").alias("most")))
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     with_item = candidates.join(small(it.select("item_id", hashed(F.col("w")).alias("item"))), "item_id")
     start = F.greatest(F.lit(1), F.col("least") + 1 - BAND)
