@@ -178,13 +178,15 @@ def run_restart(g: Graph, parts: int, tau: float, iterations: int, seed: int, st
 
     if start is None:
         z = np.zeros(g.n, np.int64)
-        theta = [np.log(rng.dirichlet([10.0] * parts))] + [np.log(np.maximum(rng.dirichlet([10.0] * size, parts), EPS)) if size else np.zeros((parts, 0)) for _, _, size in flat]
+        theta = [np.log(rng.dirichlet([10.0] * parts))] + [np.log(np.maximum(rng.dirichlet([1.0] * size, parts), EPS)) if size else np.zeros((parts, 0)) for _, _, size in flat]
     else:
         z = start.copy()
         theta = fit(z)
     last = -math.inf
-    for _ in range(iterations):
-        new = relaxed_labels(-scores(theta), g.u, g.v, g.weight * k)
+    for i in range(iterations):
+        # random parameters say little, and neighbours would all agree on one cluster at once: the first step is without them
+        pull = g.weight * (0.0 if start is None and i == 0 else k)
+        new = relaxed_labels(-scores(theta), g.u, g.v, pull)
         changed = float((new != z).mean())
         z = new
         theta = fit(z)

@@ -38,7 +38,8 @@ def mutual_information(df: DataFrame, x: str, y: str, base: float = 2.0) -> Data
 def binned(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
     """Equal-width bin numbers 0..bins-1 over each column's range, the last bin closed; a constant column is bin null."""
     bounds = df.agg(*[f(c).alias(f"__{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])  # one row
-    scaled = {f"bin_{c}": F.least(F.floor(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")) * bins), F.lit(bins - 1)) for c in cols}
+    share = lambda c: F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))
+    scaled = {f"bin_{c}": F.when(share(c).isNotNull(), F.least(F.floor(share(c) * bins), F.lit(bins - 1))) for c in cols}
     return df.join(F.broadcast(bounds)).withColumns(scaled).select(*df.columns, *scaled)
 
 
