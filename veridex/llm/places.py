@@ -138,7 +138,10 @@ def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> D
     found = spans.join(meant, "t")
     # a location holds few words, so its matches are few: they are compared within one array
     per = found.groupBy("f").agg(F.collect_set(F.struct("dist", (-F.length("t")).alias("less"), "kind", "place_id", "region_code", "country", "i", "j")).alias("m"))
-    towns_of = per.select("f", "m", F.explode(F.filter("m", lambda x: x.kind == "t")).alias("x"))
+    # of the words that may name a town, those closest to it count; what stands beside them are hints
+    named = "filter(m, x -> x.kind = 't')"
+    best = F.expr(f"filter({named}, x -> not exists({named}, y -> y.place_id = x.place_id and struct(y.dist, y.less, y.i, y.j) < struct(x.dist, x.less, x.i, x.j)))")
+    towns_of = per.select("f", "m", F.explode(best).alias("x"))
     apart = "(h.j < x.i or h.i > x.j)"
     judged = towns_of.select(
         "f", "x",
