@@ -52,7 +52,8 @@ def p5_trailing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("product_id", "from_day", "to_day", "n_7", "sum_7", "n_30", "sum_30", *means)
 
 
-@R.add("p7_found")
+@R.add("p7_found", """with k as (select 'memberId' as key_field, memberId as key_value from reviews union all select 'productId', productId from reviews)
+select key_field, key_value from k where regexp_matches(key_value, '[^[:space:]]') group by all having count(*) * 100 >= (select count(*) from reviews)""")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = table(spark, sf_dir, "reviews").select("memberId", "productId", "starRating")
     return key_quantiles(reviews, ["memberId", "productId"], F.col("starRating"), (0.5,), min_share=0.01).select("key_field", "key_value")
