@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,8 @@ def item_pairs(df: DataFrame, basket: str, item: str, min_shared: int = 6, min_l
     Basket collapsing: rows become distinct (basket, item), items that cannot be in any result pair are dropped, baskets with
     the same items become one with a weight, and pairs are enumerated once per distinct basket, weights summed. Items are
     dropped by exact bounds only: with n baskets of N, an item needs n >= min_shared, and lift * n <= N since shared <= the other's n.
-    The largest baskets of up to min_shared - 1 weight in all are left out of the enumeration, for a pair that occurs in them
-    alone cannot reach min_shared; what they add to a pair is counted from their (bounded) list per item.
+    The largest baskets, at most min_shared - 1, are left out of the enumeration, for a pair that occurs in them alone cannot
+    reach min_shared; what they add to a pair is counted from each item's list of those it is in.
 
     Result: item_a < item_b STRING (as stored), shared, n_a, n_b, n_all BIGINT, lift, conviction DOUBLE (the larger of both
     directions; null where a rule is never broken). A basket counts once per item, however often it is repeated. Rows with a blank basket
@@ -31,29 +29,20 @@ def item_pairs(df: DataFrame, basket: str, item: str, min_shared: int = 6, min_l
     n_all = rows.select("b").distinct().count()
     counts = rows.groupBy("i").agg(F.count("*").alias("n")).where((F.col("n") >= min_shared) & (F.col("n") * F.lit(float(min_lift)) <= n_all))
     kept = rows.join(counts.select("i"), "i", "left_semi")
-    # an item occurs once in a basket, so a basket's array is bounded by the number of kept items
-    baskets = kept.groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("items")).where("size(items) >= 2")
-    weighted = checkpoint(baskets.groupBy("items").agg(F.count("*").alias("w")))
-
-    largest = weighted.where(F.size("items") >= LARGE).select("items", "w").orderBy(F.desc(F.size("items")), "items").limit(max(0, min_shared - 1)).collect()
-    left, out = min_shared - 1, []
-    for r in largest:
-        if r.w <= left:
-            left -= r.w
-            out.append((len(out), r["items"], r.w))
-    spark = df.sparkSession
-    aside = spark.createDataFrame(out, "no int, items array<string>, w long")
-    rest = weighted.join(F.broadcast(aside.select("items")), "items", "left_anti") if out else weighted
+    # the largest baskets, at most min_shared - 1 of them, are set aside by their ids: their items are never gathered
+    sizes = kept.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE)
+    out = [r["b"] for r in sizes.orderBy(F.desc("n"), "b").limit(max(0, min_shared - 1)).collect()]
+    baskets = kept.where(~F.col("b").isin(out)).groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("items")).where("size(items) >= 2")
+    rest = baskets.groupBy("items").agg(F.count("*").alias("w"))
     first = rest.select("items", "w", F.posexplode("items").alias("p", "item_a")).where("p < size(items) - 1")
     pairs = first.select("item_a", "w", F.explode(F.expr("slice(items, p + 2, size(items))")).alias("item_b")).groupBy("item_a", "item_b").agg(F.sum("w").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= min_shared - sum(w for _, _, w in out))
+    pairs = pairs.where(F.col("shared") >= min_shared - len(out))
     if out:
-        holds = aside.select(F.explode("items").alias("i"), "no").groupBy("i").agg(F.collect_list("no").alias("nos"))
+        holds = kept.where(F.col("b").isin(out)).groupBy("i").agg(F.collect_list("b").alias("bs"))  # at most min_shared - 1 each
         for side in ("a", "b"):
-            pairs = pairs.join(holds.select(F.col("i").alias(f"item_{side}"), F.col("nos").alias(f"nos_{side}")), f"item_{side}", "left")
-        both = F.array_intersect(F.coalesce("nos_a", F.array().cast("array<int>")), F.coalesce("nos_b", F.array().cast("array<int>")))
-        added = reduce(lambda x, r: x + F.when(F.array_contains(both, r[0]), F.lit(r[2])).otherwise(F.lit(0)), out, F.lit(0).cast("bigint"))
-        pairs = pairs.select("item_a", "item_b", (F.col("shared") + added).alias("shared"))
+            pairs = pairs.join(holds.select(F.col("i").alias(f"item_{side}"), F.col("bs").alias(f"bs_{side}")), f"item_{side}", "left")
+        both = F.size(F.array_intersect(F.coalesce("bs_a", F.array().cast("array<string>")), F.coalesce("bs_b", F.array().cast("array<string>"))))
+        pairs = pairs.select("item_a", "item_b", (F.col("shared") + both).alias("shared"))
     pairs = pairs.where(F.col("shared") >= min_shared)
     for side in ("a", "b"):
         pairs = pairs.join(counts.select(F.col("i").alias(f"item_{side}"), F.col("n").alias(f"n_{side}")), f"item_{side}")
