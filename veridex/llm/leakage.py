@@ -109,9 +109,9 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     seeds = ahead.withColumn("needed", F.max("short").over(window.rangeBetween(-inside, 0))).select("item_id", "ipos", "g", ((F.col("rare") == 1) | (F.col("needed") == 1)).alias("seed"))
     diagonal = hits.join(small(seeds), "g").withColumn("diag", F.col("dpos") - F.col("ipos"))
     half = BAND // 2
-    banded = diagonal.select("doc_id", "item_id", "ipos", "seed", "diag", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)).alias("band"))
-    once = banded.groupBy("doc_id", "item_id", "band", "ipos").agg(F.max("seed").alias("seed"), F.min("diag").alias("least"), F.max("diag").alias("most"))
-    counted = once.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("runs"), F.max("seed").alias("seed"), F.min("least").alias("least"), F.max("most").alias("most"))
+    banded = diagonal.select("doc_id", "item_id", "ipos", "seed", "diag", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)).alias("band")).drop("ipos")
+    # a document's runs lie in one task, so this is summed before the shuffle; a phrase repeated in a document only makes more candidates
+    counted = banded.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("runs"), F.max("seed").alias("seed"), F.min("diag").alias("least"), F.max("diag").alias("most"))
     found = counted.where(F.col("seed") & (F.col("runs") >= HITS))
     candidates = checkpoint(found.groupBy("doc_id", "item_id", F.floor(F.col("band") / 2).alias("part")).agg(F.min("least").alias("least"), F.max("most").alias("most")))
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
