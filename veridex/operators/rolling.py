@@ -19,9 +19,10 @@ def trailing_totals(df: DataFrame, entity: str, day: str, value: str, windows: S
 
     Result: entity, first_active, last_active DATE, from_day, to_day DATE (both included), and n_w BIGINT, sum_w DOUBLE per
     window w. The runs of an entity cover every day from its first active one to the day its longest window empties.
-    Rows with a null entity, day or value are left out; an empty input gives an empty result; repeated rows each count.
+    Rows with a null entity, day or value, or a value that is NaN, are left out; an empty input gives an empty result; repeated rows each count.
     """
-    rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{day}`").cast("date").alias("d"), F.col(f"`{value}`").cast("double").alias("v"))
+    real = F.nanvl(F.col(f"`{value}`").cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{day}`").cast("date").alias("d"), real.alias("v"))
     daily = rows.where("e is not null and d is not null and v is not null").groupBy("e", "d").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     by_day = W.partitionBy("e").orderBy("d")
     prefix = daily.select(
