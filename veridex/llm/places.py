@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import bounded
+from ..session import bounded, checkpoint
 
 #: Levenshtein distance allowed by the length of the reference name, blanks and punctuation not counted. Beyond 2, the
 #: letters must agree so far that swapped neighbours (two edits each here) explain the rest: two slips of the keyboard in all.
@@ -125,8 +125,9 @@ def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> D
 
     runs = F.expr(f"""flatten(transform(sequence(1, size(w)), i ->
         transform(sequence(i, least(i + {SPAN - 1}, size(w))), j -> named_struct('i', i, 'j', j, 't', array_join(slice(w, i, j - i + 1), '')))))""")
-    spans = texts.where("size(w) > 0").select("f", F.explode(runs).alias("s")).select("f", "s.i", "s.j", "s.t")
-    near = closest_names(spans.select("t"), towns.select("name").unionByName(regions.select("name")).unionByName(countries.select("name")))
+    # each step is used more than once, and is cut here so that it is planned and run once
+    spans = checkpoint(texts.where("size(w) > 0").select("f", F.explode(runs).alias("s")).select("f", "s.i", "s.j", "s.t"))
+    near = checkpoint(closest_names(spans.select("t"), towns.select("name").unionByName(regions.select("name")).unionByName(countries.select("name"))))
 
     entries = (
         towns.select("name", F.lit("t").alias("kind"), "place_id", "region_code", "country")
@@ -154,7 +155,7 @@ def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> D
     ranked = fitting.groupBy("f", "x.place_id").agg(F.min(F.struct("x.dist", "x.less")).alias("best"))
     top = ranked.withColumn("r", F.rank().over(W.partitionBy("f").orderBy("best"))).where("r = 1")
     one = top.groupBy("f").agg(F.count("*").alias("n"), F.min("place_id").alias("place_id"), F.min("best.dist").alias("dist"))
-    sure = one.where("n = 1").select("f", "place_id", "dist")
+    sure = checkpoint(one.where("n = 1").select("f", "place_id", "dist"))
     hit = people.join(sure, "f").select("k", "loc", "place_id", "dist")
     missed = people.join(sure, "f", "left_anti").select("k", "loc", F.lit(0).alias("place_id"), F.lit(None).cast("int").alias("dist"))
     return hit.unionByName(missed).select(F.col("k").alias(key), F.col("loc").alias(location), "place_id", "dist")
