@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from ..session import bounded, checkpoint, materialize
 from .text import with_once
 
@@ -20,9 +21,13 @@ LEAST_DEPTH = 3
 SKETCH = 0.29  # share of sketch bits in which a pair worth counting may differ
 #: Records of a region up to which its depth is enough: their pairs are compared by fingerprint.
 REGION = 20
+#: Texts of a group per block; each pair of blocks is compared on its own.
+BLOCK = 200
 #: Words in at least this share of the texts are weighted by their frequency, all others alike. At most
 #: (mean number of different words) / FREQUENT words can be that frequent, whatever the size of the collection.
 FREQUENT = 0.005
+#: Weight of all other words. Words that an edit brings in are mostly rare: at the weight of their rarity they would hide the copies.
+RARE = 1.0
 _ALL = 0  # stands for a word that every text has
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +83,7 @@ def _signed(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, weights: np
 
 
 def _weights(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of the frequent words and their inverse document frequencies, counted over all ``texts`` (text STRING).
+    """Hashes of the frequent words and their inverse document frequencies, counted over all ``texts`` (text STRING); the weight of others.
 
     Words are cut at blanks alone here: what a weight needs is how common a word is, not every place it has.
     """
@@ -88,7 +93,7 @@ def _weights(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     total = sum(r["df"] for r in counted.where(F.col("w") == _ALL).collect())
     common = counted.where((F.col("df") >= max(2.0, FREQUENT * total)) & (F.col("w") != _ALL)).toPandas().sort_values("w")  # bounded, see FREQUENT
     most = -np.log(FREQUENT)
-    return common["w"].to_numpy(np.int64), np.clip(np.log(max(total, 1) / np.maximum(common["df"].to_numpy(float), 1.0)), 0.02, most), most
+    return common["w"].to_numpy(np.int64), np.clip(np.log(max(total, 1) / np.maximum(common["df"].to_numpy(float), 1.0)), 0.02, most), RARE
 
 
 def _candidates(texts: DataFrame, least: float) -> DataFrame:
@@ -98,17 +103,17 @@ def _candidates(texts: DataFrame, least: float) -> DataFrame:
     names = [f"p{d}" for d in depths]
     trees = texts.select("t", "f1", "f2", "n", F.posexplode("sig").alias("tree", "s"))
     # one shuffle and one sort give every level's regions: a prefix is a run of the order
-    levels = trees.select("*", prefixes[0]).repartition("tree", names[0]).select("t", "f1", "f2", "n", "tree", "s", *prefixes).sortWithinPartitions("tree", *names, "t")
+    levels = trees.select("*", prefixes[0]).repartition("tree", names[0]).select("t", "f1", "f2", "n", "tree", "s", *prefixes, F.xxhash64("t", "tree").alias("o")).sortWithinPartitions("tree", *names, "o")
     for i, d in enumerate(depths):
         levels = levels.withColumn(f"c{d}", F.count("*").over(W.partitionBy("tree", *names[: i + 1])))
         if d == LEAST_DEPTH:
             levels = levels.where(F.col(f"c{d}") > 1)
-    levels = levels.withColumn("r", F.row_number().over(W.partitionBy("tree", *names).orderBy("t")))
+    levels = levels.withColumn("r", F.row_number().over(W.partitionBy("tree", *names).orderBy("o")))
     depth, region, no = F.lit(0), F.col("s"), F.floor((F.col("r") - 1) / REGION)
     for d in reversed(depths):
         fits = F.col(f"c{d}") <= REGION
         depth, region = F.when(fits, d).otherwise(depth), F.when(fits, F.col(f"p{d}")).otherwise(region)
-    # crowded at full depth: overlapping blocks along the order
+    # crowded at full depth: overlapping blocks along an order of each tree's own, enough to link the texts to one group
     block = F.when(F.col("depth") > 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.array("no", F.col("no") + 1))
     placed = levels.select("tree", names[0], depth.alias("depth"), region.alias("region"), no.alias("no"), F.struct("t", "f1", "f2", "n").alias("x"))
     blocks = placed.select("tree", names[0], "depth", "region", "x", F.explode(block).alias("block"))
@@ -120,6 +125,24 @@ def _candidates(texts: DataFrame, least: float) -> DataFrame:
     return found.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")).distinct()
 
 
+def _within_groups(links: DataFrame, counted: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of texts of ``counted`` (t, w) that agree within the connected groups of ``links`` of three texts or more.
+
+    A group is cut into blocks by a hash and every pair of blocks is a join key of its own, so a large one is spread.
+    """
+    groups = checkpoint(connected_components(links, "a", "b"))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("c")).where("c > 2").drop("c")
+    placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(counted.withColumnRenamed("t", "id"), "id")
+    left = placed.select("component", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"))
+    right = placed.select("component", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"))
+    both = left.join(right, ["component", "i", "j"]).where("(i < j or a < b)" + f" and least(size(wa), size(wb)) >= {least} * greatest(size(wa), size(wb))")
+    return both.where(_agree(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _agree(least: float) -> Column:
+    return F.size(F.array_intersect("wa", "wb")) >= F.lit(least) * F.greatest(F.size("wa"), F.size("wb"))
+
+
 def near_duplicate_records(df: DataFrame, key: Column, words: Column, short: Column, raw: Sequence[str], least_words: int = 30, least: float = 0.7) -> DataFrame:
     """Pairs of keys that have texts whose words agree for at least ``least`` of the longer one: (key_a < key_b STRING).
 
@@ -127,8 +150,10 @@ def near_duplicate_records(df: DataFrame, key: Column, words: Column, short: Col
     weighted by inverse document frequency over the whole collection. In each order a text's region is the longest prefix shared
     with few enough neighbours: it deepens level by level until it holds at most REGION texts, so sparse regions compare generously
     and crowded ones strictly. Pairs of a region are compared by size and sketch; what passes is counted exactly, word for word
-    with repetitions. A region still crowded at full depth is not cut: its texts are compared in overlapping blocks along the
-    order. Only texts that some pair needs are read again for the count.
+    with repetitions. A region still crowded at full depth is compared in overlapping blocks
+    along an order that differs by tree. What these comparisons leave out of a family of copies is made good by groups: texts
+    linked by counted pairs, directly or through others, are one group, and every pair of a group is counted. Only texts that
+    some pair needs are read again for the count.
 
     Rows with a null key, without words, or with fewer than ``least_words`` words besides those of ``short`` (the title) are left out; repeated rows count once; copies of one text
     under different keys are pairs as well. ``raw`` names the columns that ``words`` is made of. Empty input gives an empty result.
@@ -153,9 +178,10 @@ def near_duplicate_records(df: DataFrame, key: Column, words: Column, short: Col
     small = bounded(wanted.select(F.col("raw").alias("__raw"), F.col("t").alias("__t")), 1_000_000)
     again = df.withColumn("__raw", F.xxhash64(*raw)).join(small, "__raw").select(F.col("__t").alias("t"), F.sort_array(words).alias("w"))
     numbered = again.select("t", F.transform("w", lambda x, i: F.hash(x, F.when(F.get("w", i - 1) == x, i - F.array_position("w", x)).otherwise(-1))).alias("w")).groupBy("t").agg(F.first("w").alias("w"))
+    numbered = materialize(numbered)
     both = pairs.join(numbered.select(F.col("t").alias("a"), F.col("w").alias("wa")), "a").join(numbered.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b")
-    links = both.where(F.size(F.array_intersect("wa", "wb")) >= F.lit(least) * F.greatest(F.size("wa"), F.size("wb"))).select("a", "b")
-    links = checkpoint(links)
+    links = checkpoint(both.where(_agree(least)).select("a", "b"))
+    links = checkpoint(links.unionByName(_within_groups(links, numbered, least)).distinct())
     named_by = links.select(F.col("a").alias("t")).union(links.select("b")).union(texts.where("copies > 1").select("t")).distinct().join(texts.select("t", "h1", "h2"), "t")
     members = checkpoint(signed.select("key", "h1", "h2").join(named_by, ["h1", "h2"]).select("t", "key").distinct())
     left, right = members.select(F.col("t").alias("a"), F.col("key").alias("ka")), members.select(F.col("t").alias("b"), F.col("key").alias("kb"))
