@@ -59,36 +59,47 @@ def projection_evidence(edges: DataFrame, window: int = WINDOW) -> DataFrame:
     return pairs.groupBy(F.col("u").alias("m1"), F.col("v").alias("m2")).agg(F.sort_array(F.collect_set("p")).alias("products")).where("size(products) > 1")
 
 
-def _burst_p(ts: np.ndarray, window: float) -> float:
-    """Probability that two draws of the series' density fall within half a window of each other."""
-    n = len(ts)
-    h = ts.std(ddof=1) * n ** (-0.2)
+def _burst_p(ts: np.ndarray, window: float, weights: np.ndarray | None = None, spread: float | None = None) -> float:
+    """Probability that two draws of the series' density fall within half a window of each other.
+
+    ``weights`` tells how many reviews each time stands for; ``spread`` is their standard deviation where ``ts`` are means of cells.
+    """
+    weights = np.ones(len(ts)) if weights is None else weights
+    n = weights.sum()
+    h = (ts.std(ddof=1) if spread is None else spread) * n ** (-0.2)
     lo, hi = ts.min() - window / 2, ts.max() + window / 2
+    panels = max(1, math.ceil((hi - lo) / (64 * h)))  # so that nodes lie closer than the bandwidth
     x, w = np.polynomial.legendre.leggauss(256)
-    v = (hi - lo) / 2 * x + (hi + lo) / 2
-    z = (v[:, None] - ts[None, :]) / h
-    density = np.exp(-0.5 * z * z).sum(1) / (n * h * math.sqrt(2 * math.pi))
-    erf = np.vectorize(math.erf)
-    inside = (erf((z + window / 2 / h) / math.sqrt(2)) - erf((z - window / 2 / h) / math.sqrt(2))).sum(1) / (2 * n)
-    return float((hi - lo) / 2 * (w * density * inside).sum())
-
-
-def burst_gate(edges: DataFrame, window: int = WINDOW, most: int = 4096) -> DataFrame:
+    half = (hi - lo) / panels / 2
+    erf = np.vectorize(math.erf, otypes=[float])
+    total = 0.0
+    for k in range(panels):
+        for at, share in zip(lo + half * (2 * k + 1 + x), w, strict=True):
+            z = (at - ts) / h
+            density = (weights * np.exp(-0.5 * z * z)).sum() / (n * h * math.sqrt(2 * math.pi))
+            inside = (weights * (erf((z + window / 2 / h) / math.sqrt(2)) - erf((z - window / 2 / h) / math.sqrt(2)))).sum() / (2 * n)
+            total += half * share * density * inside
+    return float(total)
+
+
+def burst_gate(edges: DataFrame, window: int = WINDOW, finer: int = 64) -> DataFrame:
     """(p, n, p_value, keep): products whose reviews are so close in time that a co-review says something.
 
     A kernel density of all review times of a product gives the probability of two reviews within half a window; products where it
-    is not significant are left out, short or constant series are kept. Times are first merged into at most ``most`` weighted
-    means per product (all, where there are no more), so a product's group is bounded however many reviews it has.
+    is not significant are left out, short or constant series are kept. At every size, times are merged into weighted means of
+    cells ``finer`` times narrower than both window and bandwidth (a second at least), and number and spread of the reviews are the true
+    ones; a product's group is bounded by the range of its times, not by its reviews.
     """
-    bounds = edges.groupBy("p").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    cell = F.when((F.col("n") <= most) | (F.col("hi") == F.col("lo")), F.col("t") - F.col("lo")).otherwise(F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * most))
-    merged = edges.join(bounds, "p").groupBy("p", "n", "lo", "hi", cell.alias("cell")).agg(F.count("*").alias("w"), F.avg("t").alias("t"))
+    bounds = edges.groupBy("p").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.stddev_samp("t").alias("spread"))
+    width = F.greatest(F.lit(1.0), F.floor(F.least(F.lit(float(window)), F.coalesce("spread", F.lit(0.0)) * F.pow("n", F.lit(-0.2))) / finer))
+    bounds = bounds.withColumn("width", width)
+    merged = edges.join(bounds, "p").groupBy("p", "n", "lo", "hi", "spread", F.floor((F.col("t") - F.col("lo")) / F.col("width")).alias("cell")).agg(F.count("*").alias("w"), F.avg("t").alias("t"))
 
     def gate(pdf: pd.DataFrame) -> pd.DataFrame:
         n, low, high = int(pdf["n"].iloc[0]), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         value, keep = None, True
         if n >= LEAST_SERIES and low < high:
-            value = _burst_p(np.repeat(pdf["t"].to_numpy(float), np.maximum(1, (pdf["w"].to_numpy() * min(1.0, 4 * most / n)).round().astype(int))), window)
+            value = _burst_p(pdf["t"].to_numpy(float), window, pdf["w"].to_numpy(float), float(pdf["spread"].iloc[0]))
             keep = not value - EPSILON >= SIGNIFICANT
         return pd.DataFrame({"p": [pdf["p"].iloc[0]], "n": [n], "p_value": pd.Series([value], dtype=float), "keep": [keep]})
 
