@@ -159,14 +159,14 @@ def log_review_lengths(spark, sf_dir):
 @R.add("nl_em_bipartite")
 def nl_em_bipartite(spark, sf_dir):
     e = edges(spark, sf_dir).where("star >= 4").select(F.col("m").alias("u"), F.col("p").alias("v"))
-    return X.cluster_bipartite(e, 2, 2, iterations=5, runs=2)
+    return X.cluster_bipartite(e, 2, 2, iterations=30, runs=8)
 
 
 @R.add("nl_em_nodes")
 def nl_em_nodes(spark, sf_dir):
     """Clusters of the projected members; null for those without an edge."""
     pairs = P.member_projection(edges(spark, sf_dir), 30 * P.DAY).select(F.col("m1").alias("u"), F.col("m2").alias("v"))
-    return X.cluster_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), pairs, 3, iterations=5, runs=2)
+    return X.cluster_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), pairs, 3, iterations=10, runs=6)
 
 
 # --- hard EM, under a fixed labelling: author % 5 ---
@@ -257,13 +257,13 @@ def weak_edge_filter(spark, sf_dir):
 
 @R.add("hard_em")
 def hard_em(spark, sf_dir):
-    return H.hard_em(_projected(spark, sf_dir), _held(spark, sf_dir), parts=5, restarts=4, iterations=10)
+    return H.hard_em(_projected(spark, sf_dir), _held(spark, sf_dir), parts=5, restarts=16, iterations=30)
 
 
 @R.add("labelled_nodes")
 def labelled_nodes(spark, sf_dir):
     """Members with their name and the cluster attached; null where the graph leaves them out."""
-    labels = H.hard_em(_projected(spark, sf_dir), _held(spark, sf_dir), parts=8, restarts=2, iterations=5).select(F.col("a").alias("c_custkey"), F.col("cluster").alias("cLabel"))
+    labels = H.hard_em(_projected(spark, sf_dir), _held(spark, sf_dir), parts=8, restarts=16, iterations=30).select(F.col("a").alias("c_custkey"), F.col("cluster").alias("cLabel"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(labels, "c_custkey", "left")
 
 
@@ -429,5 +429,5 @@ def detection_pipeline(spark, sf_dir):
     one = clean.groupBy("m", "p").agg(F.max("t").alias("t"), F.max_by("star", F.struct("t", "star")).alias("star"))
     pairs = checkpoint(P.member_projection(one, 30 * P.DAY, keep=keep).select(F.col("m1").alias("u"), F.col("m2").alias("v"), "weight", "denom"))
     held = one.where("star >= 4").select(F.col("m").alias("a"), F.col("p").alias("x"))
-    labels = H.hard_em(pairs, held, parts=4, restarts=2, iterations=5)
+    labels = H.hard_em(pairs, held, parts=4, restarts=16, iterations=30)
     return clean.select("member", F.col("m").alias("a")).distinct().join(labels.select("a", "cluster"), "a").select("member", "cluster")
