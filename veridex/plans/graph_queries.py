@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import projection as P
-from ..session import table
+from ..session import checkpoint, table
 from .model import EDGES_SQL, RAW_SQL, edges, raw_reviews
 from .registry import Registry
 
@@ -168,7 +168,7 @@ def large_components(spark, sf_dir):
 select id, min(depth) as depth from walk group by id""")
 def bfs_depth(spark, sf_dir):
     pairs = P.member_projection(edges(spark, sf_dir), P.WINDOW)
-    return M.bfs_depth(pairs, "m1", "m2", pairs.agg(F.min("m1").alias("id")), 12)
+    return M.bfs_depth(pairs, "m1", "m2", pairs.agg(F.min("m1").alias("id")))
 
 
 @R.add("node_statistics", f"""with recursive {_CHAIN}, walk(id, depth) as (select min(a), 0 from s union select s.b, walk.depth + 1 from walk join s on s.a = walk.id where walk.depth < 12),
@@ -179,6 +179,36 @@ def node_statistics(spark, sf_dir):
     return G.degrees(favorable_edges(spark, sf_dir), "m").join(bfs_depth(spark, sf_dir), "id", "left")
 
 
+def _links(spark, sf_dir):
+    """The favourable edges as links of nodes m... and p..."""
+    return favorable_edges(spark, sf_dir).select(F.concat(F.lit("m"), F.col("m")).alias("a"), F.concat(F.lit("p"), F.col("p")).alias("b"))
+
+
+@R.add("bfs_depth_favorable")
+def bfs_depth_favorable(spark, sf_dir):
+    """Depth over the favourable edges from the first member, to any depth."""
+    links = checkpoint(_links(spark, sf_dir))
+    return M.bfs_depth(links, "a", "b", links.agg(F.min("a").alias("id")))
+
+
+@R.add("node_statistics_favorable")
+def node_statistics_favorable(spark, sf_dir):
+    """Degree and depth of every node of the favourable edges; depth is null out of reach."""
+    links = checkpoint(_links(spark, sf_dir))
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return ends.join(M.bfs_depth(links, "a", "b", links.agg(F.min("a").alias("id"))), "id", "left")
+
+
+@R.add("connected_components_30d")
+def connected_components_30d(spark, sf_dir):
+    return G.connected_components(P.member_projection(edges(spark, sf_dir), 30 * P.DAY), "m1", "m2")
+
+
+@R.add("large_components_30d")
+def large_components_30d(spark, sf_dir):
+    return connected_components_30d(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size")).where("size >= 3")
+
+
 @R.add("density", f"""with {EDGES_SQL} select count(*) as edges, count(distinct m) as "left", count(distinct p) as "right", round(count(*) / (count(distinct m) * count(distinct p)), 8) as density from fav""")
 def density(spark, sf_dir):
     return M.density(favorable_edges(spark, sf_dir), "m", "p").withColumn("density", F.round("density", 8))
