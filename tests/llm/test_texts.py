@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridex.llm.language import declared, identify, sentences
-from veridex.llm.leakage import align, leaked_items
+from veridex.llm.leakage import align, holds_passage, leaked_items
 from veridex.llm.packing import pack, pack_stream, token_counts
 
 
@@ -58,6 +58,39 @@ def test_leaks(spark):
     assert leaked_items(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_passages_of_twenty_words_with_two_edits_anywhere(spark):
+    rng = random.Random(7)
+    stock = "i was given a sample in exchange for my opinion".split()
+    items = [(i, (w := _words(rng, 50))[:20] + (stock if i < 8 else []) + w[20:]) for i in range(12)]
+    docs, want = [], set()
+    for d, (x, y) in enumerate((x, y) for x in range(20) for y in range(x)):
+        i, w = items[8 + d % 4]
+        part = w[15:35]
+        part[x] = "changed"
+        part[y] = "other" if d % 2 else ""
+        docs.append((d, _words(rng, 30) + [p for p in part if p] + _words(rng, 30)))
+        want.add((d, i))
+    for d in range(1000, 1000 + 3 * len(want)):  # a third of all hold the stock phrase, others a passage too short or with too many edits
+        i, w = rng.choice(items)
+        part = w[22:38] if d % 3 == 1 else [x if k % 5 else "edit" for k, x in enumerate(w[20:50])]
+        docs.append((d, _words(rng, 20) + (stock if d % 3 == 0 else part) + _words(rng, 40)))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaked_items(frame, "doc_id", "text", it, "item_id", "text").collect()} == want
+
+
+def test_holds_passage():
+    item = np.arange(100, 140)
+    doc = np.concatenate([[1, 2, 3], item[5:25], [4, 5]])
+    assert holds_passage(doc, item, -3, 1) == (20, 22)  # two words beside the passage may be lost
+    for x in range(20):
+        for y in range(x):
+            left_out = np.delete(doc, [3 + y, 3 + x])
+            assert holds_passage(left_out, item, -7, 1)[1] >= 20, (x, y)
+    assert holds_passage(np.concatenate([[1], item[5:22], [2]]), item, -6, -2) == (0, 0)
+    assert holds_passage(item[:10], item[:10], -2, 2) == (0, 0)
+
+
 SENTENCES = {
     "en": ["The lamp stopped working after two weeks", "I would buy this bag again", "It is not worth the money", "My children love the new chair"],
     "de": ["Die Lampe hat nach zwei Wochen versagt", "Ich würde diese Tasche wieder kaufen", "Das ist sein Geld nicht wert", "Meine Kinder lieben den neuen Stuhl"],
