@@ -14,8 +14,8 @@ from ..session import bounded, checkpoint
 #: letters must agree so far that swapped neighbours (two edits each here) explain the rest: two slips of the keyboard in all.
 EDITS = [(0, 0), (4, 1), (6, 2), (8, 3), (12, 4)]
 MAX_EDITS = EDITS[-1][1]
-#: Words of a location that may form one name.
-SPAN = 3
+#: Letters from which a name may hold two swaps of neighbours, whatever EDITS allows: its letters are all there, in an order of at most four edits.
+SWAPS = 6
 
 # fixed values: short forms of the words that begin town names
 _SHORT = {
@@ -81,12 +81,16 @@ def closest_names(typed: DataFrame, names: DataFrame) -> DataFrame:
 
     Partition-based pigeonhole join: a reference name is cut into k + 1 segments; whatever lies within k edits holds one
     segment unchanged, shifted by no more than the edits before and after it allow. The shifted substrings meet the segments in an
-    equality join on (length, segment number, substring); ``levenshtein`` verifies each candidate.
+    equality join on (length, segment number, substring); ``levenshtein`` verifies each candidate. Two swaps of neighbours in a name of
+    SWAPS letters or more, four edits, leave no segment for sure but all letters: strings of equal letters meet in an equality join as well.
     Nulls and empty strings match nothing; repeated strings count once.
     """
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     ref = names.select("name").where("name <> ''").distinct().select("name", F.length("name").alias("L"))
     pieces = ref.select("name", "L", F.explode(_segments(F.col("L"))).alias("s")).select("name", "L", F.col("s.no").alias("no"), F.expr("substring(name, s.start, s.len)").alias("piece"))
-    t = typed.select("t").where("t <> ''").distinct().select("t", F.length("t").alias("n"))
+    # strings are spread evenly before they are cut: a string becomes some hundred probes, so small inputs are not small
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = typed.select("t").where("t <> ''").distinct().repartition(spread, "t").select("t", F.length("t").alias("n"))
     lengths = t.select("t", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_EDITS), F.col("n") + MAX_EDITS)).alias("L"))
     known = bounded(ref.select("L").distinct())  # at most as many rows as there are lengths of names
     near = lengths.join(known, "L", "left_semi").withColumn("k", _edits(F.col("L"))).where("abs(n - L) <= k")
@@ -94,18 +98,20 @@ def closest_names(typed: DataFrame, names: DataFrame) -> DataFrame:
     shift = F.explode(F.expr("sequence(greatest(-s.no, n - L - (k - s.no)), least(s.no, n - L + (k - s.no)))"))
     probes = cut.where("greatest(-s.no, n - L - (k - s.no)) <= least(s.no, n - L + (k - s.no))").select("t", "L", "n", "s", shift.alias("by"))
     probes = probes.where("s.start + by >= 1 and s.start + by + s.len - 1 <= n").select("t", "L", F.col("s.no").alias("no"), F.expr("substring(t, s.start + by, s.len)").alias("piece"))
-    pairs = probes.join(pieces, ["L", "no", "piece"]).select("t", "name", "L").distinct()
-    near = pairs.select("t", "name", F.levenshtein("t", "name").alias("dist"), "L").where(F.col("dist") <= _edits(F.col("L")))
-    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    swapped = t.select("t", letters(F.col("t")).alias("s")).join(ref.where(F.col("L") >= SWAPS).select("name", "L", letters(F.col("name")).alias("s")), "s").select("t", "name", "L")
+    pairs = probes.join(pieces, ["L", "no", "piece"]).select("t", "name", "L").unionByName(swapped).distinct()
+    near = pairs.select("t", "name", F.levenshtein("t", "name").alias("dist"), "L")
     others = F.levenshtein(letters(F.col("t")), letters(F.col("name")))
-    return near.where((F.col("dist") <= 2) | ((F.col("dist") == 3) & (others <= 2)) | (others == 0)).select("t", "name", "dist")
+    within = F.col("dist") <= _edits(F.col("L"))
+    good = (within & ((F.col("dist") <= 2) | ((F.col("dist") == 3) & (others <= 2)))) | ((F.col("dist") <= 4) & (F.col("L") >= SWAPS) & (others == 0))
+    return near.where(good).select("t", "name", "dist")
 
 
 def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> DataFrame:
     """The town of ``places`` each location means, or 0.
 
-    ``places`` has place_id, city, region, region_code, country, aliases. A location is folded to plain words; every run of up
-    to three words is compared with the names and aliases of towns (by :func:`closest_names`), with regions and
+    ``places`` has place_id, city, region, region_code, country, aliases. A location is folded to plain words; every run of as
+    many words as the longest listed name has is compared with the names and aliases of towns (by :func:`closest_names`), with regions and
     countries and, letter by letter, with region codes. Of the towns that contradict no region or country named beside
     them, the closest name wins, then the longer one; 0 is reported where none is left (an anti-join keeps those) or where two towns tie.
 
@@ -123,8 +129,11 @@ def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> D
     codes = places.select("region_code", "country", F.lower("region_code").alias("name")).where("name <> ''").distinct()
     countries = places.select("country", joined(F.col("country")).alias("name")).where("name <> ''").distinct()
 
+    listed = places.select(F.explode(F.concat(F.array("city", "region", "country"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    span = listed.agg(F.max(F.size(_words(folded(F.col("n")))))).first()[0] or 1
+    # one word more, for a name may be typed with a blank too many
     runs = F.expr(f"""flatten(transform(sequence(1, size(w)), i ->
-        transform(sequence(i, least(i + {SPAN - 1}, size(w))), j -> named_struct('i', i, 'j', j, 't', array_join(slice(w, i, j - i + 1), '')))))""")
+        transform(sequence(i, least(i + {span}, size(w))), j -> named_struct('i', i, 'j', j, 't', array_join(slice(w, i, j - i + 1), '')))))""")
     # each step is used more than once, and is cut here so that it is planned and run once
     spans = checkpoint(texts.where("size(w) > 0").select("f", F.explode(runs).alias("s")).select("f", "s.i", "s.j", "s.t"))
     near = checkpoint(closest_names(spans.select("t"), towns.select("name").unionByName(regions.select("name")).unionByName(countries.select("name"))))
