@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import bounded, checkpoint, materialize
 from .text import words
 
 # fixed values: ISO 639-1 codes told apart, and the ways their labels are written
@@ -39,6 +39,11 @@ STAY = 4.0
 SMOOTHING = 50.0
 #: Sentences that make a passage.
 PASSAGE = 2
+#: Posterior of a text alone from which it tells whether its label can be trusted.
+SURE = 0.99
+
+# fixed values: endings of addresses under which one of these languages is written
+SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "pt": "pt", "br": "pt", "it": "it", "nl": "nl", "se": "sv", "ru": "ru", "uk": "en", "ie": "en", "us": "en", "au": "en"}
 
 _NOISE = re.compile(r"<[/!]?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|(?:https?://|www\.)\S+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,160}\"|“[^”\n]{1,160}”|„[^“”\n]{1,160}[“”]|«[^»\n]{1,160}»")
@@ -127,34 +132,73 @@ class WordModel:
         return np.add.reduceat(self.table[flat], starts, axis=0) if len(flat) else np.zeros((0, len(self.langs))), [len(t) for t in texts]
 
 
-def _segments(batches: Iterator[pa.RecordBatch], model: WordModel, priors: dict[tuple[str, str], np.ndarray], trust: dict[str, float], keep_words: bool) -> Iterator[pa.RecordBatch]:
-    even = np.log(np.full(len(model.langs), 1 / len(model.langs)))
-    at = {x: i for i, x in enumerate(model.langs)}
+def _passages(batches: Iterator[pa.RecordBatch], model: WordModel) -> Iterator[pa.RecordBatch]:
+    """The words of each passage found by the text alone, with its language."""
+    even = np.zeros(len(model.langs))
+    for b in batches:
+        texts = [sentences(t or "") for t in b.column("text").to_pylist()]
+        scores, sizes = model.score(texts)
+        out, row = [], 0
+        for text, n in zip(texts, sizes, strict=True):
+            if n:
+                out += [(model.langs[k], [x for s in text[i : j + 1] for x in s]) for i, j, k in _decode(scores[row : row + n], even)]
+                row += n
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([w for _, w in out], pa.list_(pa.string()))], names=["lang", "w"])
+
+
+_KEPT = ["doc_id", "declared", "markup", "suffix", "host", "kind"]
+_SCORED = "doc_id long, declared string, markup string, suffix string, host string, kind string, scores array<float>, sizes array<int>, top string, sure boolean"
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: WordModel) -> Iterator[pa.RecordBatch]:
+    """Every document that has words: log-likelihoods by sentence and language, words by sentence, the language of the text alone and whether that is sure."""
+    k = len(model.langs)
     for b in batches:
         texts = [sentences(t or "") for t in b.column("text").to_pylist()]
         scores, sizes = model.score(texts)
-        out: list[tuple] = []
-        row = 0
-        for doc, text, n, lang, host, kind in zip(b.column("doc_id").to_pylist(), texts, sizes, *(b.column(c).to_pylist() for c in ("declared", "host", "kind")), strict=True):
-            if not n:
-                continue
-            own = scores[row : row + n]
-            row += n
-            prior = priors.get((host, kind), priors.get((host, None), priors.get((None, None), even)))
-            if lang in at:  # what the label adds, by how far labels of this host can be trusted
-                r = trust.get(host, trust.get(None, 0.8))
-                prior = prior + np.log((1 - r) / (len(at) - 1))
-                prior[at[lang]] += np.log(r) - np.log((1 - r) / (len(at) - 1))
-            for first, last, k in _decode(own, prior):
-                total = own[first : last + 1].sum(0) + prior
-                e = np.exp(total - total.max())
-                w = sum(map(len, text[first : last + 1]))
-                out.append((doc, first, last, w, model.langs[k], float(e[k] / e.sum()), [x for s in text[first : last + 1] for x in s] if keep_words else None))
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string())]
-        names = ["doc_id", "first", "last", "n_words", "lang", "confidence", "w"]
-        keep = 7 if keep_words else 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, types, strict=True))[:keep]], names=names[:keep])
+        n = np.array(sizes, np.int64)
+        at = np.flatnonzero(n)
+        ends = np.concatenate([[0], np.cumsum(n[at])])
+        total = np.add.reduceat(scores, ends[:-1], axis=0) if len(at) else np.zeros((0, k))
+        e = np.exp(total - total.max(1, keepdims=True)) if len(at) else total
+        top, sure = total.argmax(1) if len(at) else np.zeros(0, np.int64), 1 / e.sum(1) >= SURE if len(at) else np.zeros(0, bool)
+        words_in = np.array([len(x) for t in texts for x in t], np.int32)
+        flat = pa.ListArray.from_arrays(pa.array((ends * k).astype(np.int32)), pa.array(scores.astype(np.float32).ravel()))
+        lengths = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words_in))
+        took = [b.column(c).take(pa.array(at)) for c in _KEPT]
+        yield pa.RecordBatch.from_arrays([*took, flat, lengths, pa.array([model.langs[x] for x in top], pa.string()), pa.array(sure)], names=[*_KEPT, "scores", "sizes", "top", "sure"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
+    """Passages of scored documents, each with its prior. Texts of one language are settled for a batch at once, mixed ones one by one."""
+    k = len(langs)
+    for b in batches:
+        m = b.num_rows
+        if not m:
+            continue
+        doc, prior = b.column("doc_id").to_numpy(), b.column("prior").flatten().to_numpy().reshape(m, k)
+        scores = b.column("scores").flatten().to_numpy().astype(float).reshape(-1, k)
+        words_in = b.column("sizes").flatten().to_numpy().astype(np.int64)
+        n = b.column("sizes").value_lengths().to_numpy().astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        tops = scores.argmax(1)
+        one = np.minimum.reduceat(tops, starts) == np.maximum.reduceat(tops, starts)
+        total, all_words = np.add.reduceat(scores, starts, axis=0) + prior, np.add.reduceat(words_in, starts)
+        best = total.argmax(1)
+        sure = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        at = np.flatnonzero(one)
+        rows = [doc[at], np.zeros(len(at), np.int64), n[at] - 1, all_words[at], best[at], sure[at]]
+        more: list[tuple] = []
+        for i in np.flatnonzero(~one):
+            own = scores[starts[i] : starts[i] + n[i]]
+            for first, last, lang in _decode(own, prior[i]):
+                t = own[first : last + 1].sum(0) + prior[i]
+                e = np.exp(t - t.max())
+                more.append((doc[i], first, last, words_in[starts[i] + first : starts[i] + last + 1].sum(), lang, e[lang] / e.sum()))
+        cols = [np.concatenate([r, np.array(c, r.dtype)]) for r, c in zip(rows, zip(*more, strict=True) if more else [[]] * 6, strict=True)]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+        cols[4] = np.array(langs, object)[cols[4].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "first", "last", "n_words", "lang", "confidence"])
 
 
 _SCHEMA = "doc_id long, first int, last int, n_words int, lang string, confidence double"
@@ -167,15 +211,45 @@ def _fit(labelled: DataFrame) -> WordModel:
     return WordModel([(r.w, r.lang, r.n) for r in ranked.select("w", "lang", "n").orderBy("w", "lang").collect()], list(LANGUAGES))
 
 
+def _evidence(scored: DataFrame, langs: list[str]) -> DataFrame:
+    """``scored`` with ``prior``, what is known of each document beside its text: ARRAY of logarithms by language.
+
+    Counted over all documents, in grouped aggregates: labels by host and kind of text, each level's shares smoothed towards the level above by
+    SMOOTHING documents; how often the labels of a host, declarations in the markup and endings of addresses agree with texts that are sure by
+    themselves. All hosts and kinds count, whatever their number; the table of them meets the documents by a join.
+    """
+    k = len(langs)
+    own = [F.sum((F.col("declared") == x).cast("double")) for x in langs]
+    tested = F.col("sure") & F.col("declared").isin(langs)
+    sums = lambda c, of: [F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(of)]
+    by_kind = checkpoint(scored.groupBy("host", "kind").agg(
+        F.array(*[F.coalesce(x, F.lit(0.0)) for x in own]).alias("c"),
+        F.array(*[F.coalesce(F.sum(x.cast("double")), F.lit(0.0)) for x in (tested, tested & (F.col("declared") == F.col("top")))]).alias("t"),
+        F.array(*[F.coalesce(F.sum(x.cast("double")), F.lit(0.0)) for e in ("markup", "suffix") for x in (F.col("sure") & F.col(e).isNotNull(), F.col("sure") & (F.col(e) == F.col("top")))]).alias("e"),
+    ))
+    whole = by_kind.agg(F.array(*sums("c", k)).alias("c"), F.array(*sums("t", 2)).alias("t"), F.array(*sums("e", 4)).alias("e")).first()
+    rate = lambda n, same: min(0.99, (same + 8) / (n + 10))
+    everywhere = F.array(*[F.lit((x + 1.0) / (sum(whole.c) + k)) for x in whole.c])
+    overall, marked, ended = rate(*whole.t), rate(*whole.e[:2]), rate(*whole.e[2:])
+    smooth = lambda c, above: F.transform(c, lambda x, i: (x + SMOOTHING * F.get(above, i)) / (F.aggregate(c, F.lit(0.0), lambda a, y: a + y) + SMOOTHING))
+    hosts = by_kind.groupBy("host").agg(F.array(*sums("c", k)).alias("hc"), F.array(*sums("t", 2)).alias("ht"))
+    hosts = hosts.select(F.col("host").alias("h"), smooth(F.col("hc"), everywhere).alias("share"), F.least(F.lit(0.99), (F.get("ht", F.lit(1)) + SMOOTHING * overall) / (F.get("ht", F.lit(0)) + SMOOTHING)).alias("trust"))
+    known = by_kind.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(F.col("host").alias("h"), F.col("kind").alias("k"), smooth(F.col("c"), F.col("share")).alias("share"), "trust")
+    met = scored.join(bounded(known), F.col("host").eqNullSafe(F.col("h")) & F.col("kind").eqNullSafe(F.col("k")))
+    says = lambda c, r, x: F.when(c.isin(langs), F.when(c == x, F.ln(r)).otherwise(F.ln((1 - r) / (k - 1)))).otherwise(0.0)
+    prior = [F.ln(F.get("share", F.lit(i))) + says(F.col("declared"), F.col("trust"), x) + says(F.col("markup"), F.lit(marked), x) + says(F.col("suffix"), F.lit(ended), x) for i, x in enumerate(langs)]
+    return met.select("doc_id", "scores", "sizes", F.array(*prior).alias("prior"))
+
+
 def identify(df: DataFrame, doc_id: str, text: str, label: str, host: str | None = None, kind: str | None = None) -> DataFrame:
     """Passages of every text with their language and a confidence.
 
     Bayesian evidence fusion. The likelihood of a sentence comes from words by language, fitted on a sample of about SAMPLE labelled
-    documents per language and fitted once more on the passages it finds there, which rids it of wrong labels and mixed texts. The
-    prior of a document is that of its host (and kind of text within the host), smoothed towards the level above, from counts
-    of labels over all documents; its label counts as far as labels of that host agree with the text in the sample. The most
-    likely sequence of languages over the sentences gives the passages; fewer than PASSAGE sentences make none, and quoted phrases,
-    tags and addresses are left out.
+    documents per language and fitted once more on the passages it finds there, which rids it of wrong labels and mixed texts. All documents are
+    scored by it once; the prior of a document (:func:`_evidence`) joins labels counted over all documents of its host and kind of text, smoothed
+    level by level, its own label as far as labels of its host agree with their texts, a language declared in its markup, and the ending of the
+    first address in it (of the host, if that is an address). The most likely sequence of languages over the sentences gives the
+    passages; fewer than PASSAGE sentences make none, and quoted phrases, tags and addresses are left out of the likelihood.
 
     Result: doc_id, first, last (sentences, from 0), n_words INT, lang (ISO 639-1), confidence DOUBLE. Texts that are null, empty or
     without letters give no row; a text of unknown words gets the language its prior favours, with that confidence. Rows with a null id are
@@ -183,38 +257,20 @@ def identify(df: DataFrame, doc_id: str, text: str, label: str, host: str | None
     """
     column = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
     d = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), column(text).alias("text"), declared(column(label)).alias("declared"), column(host).alias("host"), column(kind).alias("kind")).where("doc_id is not null")
+    t = F.col("text")
+    stated = F.when(F.contains(t, F.lit("lang")), declared(F.regexp_extract(t, r"(?i)<[a-z][^<>]*\slang\s*=\s*[\"']?([\p{L}_-]+)", 1)))
+    ending = F.when(F.contains(t, F.lit("//")), F.nullif(F.regexp_extract(t, r"(?i)https?://[\w.-]+\.([a-z]{2})(?![\w.-])", 1), F.lit("")))
+    ending = F.coalesce(ending, F.nullif(F.regexp_extract("host", r"(?i)^(?:https?://)?[\w-]+(?:\.[\w-]+)*\.([a-z]{2})(?![\w.-])", 1), F.lit("")))
+    country = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
+    d = d.withColumn("markup", stated).withColumn("suffix", F.try_element_at(country, F.lower(ending)))
     langs = list(LANGUAGES)
-    known = d.where(F.col("declared").isin(langs))
-    usable = known.where("text is not null and length(text) > 20")
+    usable = d.where(F.col("declared").isin(langs) & t.isNotNull() & (F.length(t) > 20))
     # a share of each language's documents by a hash of their ids: nothing is moved, and the draw does not depend on the order of rows
     sizes = {r.declared: r.n for r in usable.groupBy("declared").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE / max(1, sizes.get(lang, 0))))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
-    sample = checkpoint(usable.where(drawn < F.element_at(share, F.col("declared"))))
-    rough = _fit(sample.select(F.col("declared").alias("lang"), words(F.col("text")).alias("w")))
-    found = checkpoint(sample.mapInArrow(lambda it: _segments(it, rough, {}, {}, True), _SCHEMA + ", w array<string>"))
-    model = _fit(found.select("lang", "w"))
-
-    # hosts: labels counted over all documents, each level smoothed towards the one above; a host is known by a bounded list of names
-    counts = known.groupBy("host", "kind", "declared").agg(F.count("*").alias("n"))
-    level = {None: counts.groupBy("declared").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("kind"), "declared", "n")}
-    large = W.partitionBy("host")
-    hosts = counts.groupBy("host", "declared").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(large)).where(F.col("all") >= SMOOTHING)
-    kinds = counts.withColumn("all", F.sum("n").over(W.partitionBy("host", "kind"))).where(F.col("all") >= SMOOTHING)
-    rows = level[None].collect() + hosts.orderBy(F.desc("all")).limit(20_000 * len(langs)).select("host", F.lit(None).cast("string").alias("kind"), "declared", "n").collect() + kinds.orderBy(F.desc("all")).limit(20_000 * len(langs)).select("host", "kind", "declared", "n").collect()
-    tally: dict[tuple, np.ndarray] = {}
-    for r in rows:
-        tally.setdefault((r.host, r.kind), np.zeros(len(langs)))[langs.index(r.declared)] += r.n
-    share = {(None, None): (tally.get((None, None), np.zeros(len(langs))) + 1.0)}
-    share[(None, None)] /= share[(None, None)].sum()
-    for key in sorted((k for k in tally if k != (None, None)), key=lambda k: (k[1] is not None, str(k))):
-        above = share.get((key[0], None), share[(None, None)]) if key[1] is not None else share[(None, None)]
-        c = tally[key]
-        share[key] = (c + SMOOTHING * above) / (c.sum() + SMOOTHING)
-    priors = {k: np.log(v) for k, v in share.items()}
-    main = found.groupBy("doc_id").agg(F.max_by("lang", "n_words").alias("lang"))
-    agree = sample.join(main, "doc_id").groupBy("host").agg(F.count("*").alias("n"), F.sum((F.col("lang") == F.col("declared")).cast("long")).alias("same")).orderBy(F.desc("n")).limit(20_000).collect()
-    overall = (sum(r.same for r in agree) + 8) / (sum(r.n for r in agree) + 10)
-    trust = {None: overall} | {r.host: min(0.99, (r.same + SMOOTHING * overall) / (r.n + SMOOTHING)) for r in agree}
-    trust = {k: min(0.99, v) for k, v in trust.items()}
-    return d.mapInArrow(lambda it: _segments(it, model, priors, trust, False), _SCHEMA)
+    sample = checkpoint(usable.where(drawn < F.element_at(share, F.col("declared"))).select("text", F.col("declared").alias("lang")))
+    rough = _fit(sample.select("lang", words(t).alias("w")))
+    model = _fit(sample.select("text").mapInArrow(lambda it: _passages(it, rough), "lang string, w array<string>"))
+    scored = materialize(d.select(*_KEPT, "text").mapInArrow(lambda it: _scored(it, model), _SCORED))
+    return _evidence(scored, langs).mapInArrow(lambda it: _decoded(it, langs), _SCHEMA)
