@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import bounded, checkpoint
+from .text import with_once
 
 #: Levenshtein distance allowed by the length of the reference name, blanks and punctuation not counted. Beyond 2, the
 #: letters must agree so far that swapped neighbours (two edits each here) explain the rest: two slips of the keyboard in all.
@@ -85,12 +86,12 @@ def closest_names(typed: DataFrame, names: DataFrame) -> DataFrame:
     SWAPS letters or more, four edits, leave no segment for sure but all letters: strings of equal letters meet in an equality join as well.
     Nulls and empty strings match nothing; repeated strings count once.
     """
-    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    letters = lambda c: F.array_join(F.sort_array(F.split(c, "")), "")
     ref = names.select("name").where("name <> ''").distinct().select("name", F.length("name").alias("L"))
     pieces = ref.select("name", "L", F.explode(_segments(F.col("L"))).alias("s")).select("name", "L", F.col("s.no").alias("no"), F.expr("substring(name, s.start, s.len)").alias("piece"))
     # strings are spread evenly before they are cut: a string becomes some hundred probes, so small inputs are not small
     spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = typed.select("t").where("t <> ''").distinct().repartition(spread, "t").select("t", F.length("t").alias("n"))
+    t = typed.select("t").where("t <> ''").distinct().repartition(spread, F.xxhash64("t")).select("t", F.length("t").alias("n"))
     lengths = t.select("t", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - MAX_EDITS), F.col("n") + MAX_EDITS)).alias("L"))
     known = bounded(ref.select("L").distinct())  # at most as many rows as there are lengths of names
     near = lengths.join(known, "L", "left_semi").withColumn("k", _edits(F.col("L"))).where("abs(n - L) <= k")
@@ -100,10 +101,10 @@ def closest_names(typed: DataFrame, names: DataFrame) -> DataFrame:
     probes = probes.where("s.start + by >= 1 and s.start + by + s.len - 1 <= n").select("t", "L", F.col("s.no").alias("no"), F.expr("substring(t, s.start + by, s.len)").alias("piece"))
     swapped = t.select("t", letters(F.col("t")).alias("s")).join(ref.where(F.col("L") >= SWAPS).select("name", "L", letters(F.col("name")).alias("s")), "s").select("t", "name", "L")
     pairs = probes.join(pieces, ["L", "no", "piece"]).select("t", "name", "L").unionByName(swapped).distinct()
-    near = pairs.select("t", "name", F.levenshtein("t", "name").alias("dist"), "L")
-    others = F.levenshtein(letters(F.col("t")), letters(F.col("name")))
-    within = F.col("dist") <= _edits(F.col("L"))
-    good = (within & ((F.col("dist") <= 2) | ((F.col("dist") == 3) & (others <= 2)))) | ((F.col("dist") <= 4) & (F.col("L") >= SWAPS) & (others == 0))
+    near = with_once(pairs, "dist", F.levenshtein("t", "name")).where(F.col("dist") <= MAX_EDITS)
+    far = F.when(F.col("dist") > 2, F.levenshtein(letters(F.col("t")), letters(F.col("name")))).otherwise(0)  # only these are weighed by their letters
+    near = with_once(near, "others", far)
+    good = (F.col("dist") <= _edits(F.col("L"))) & ((F.col("dist") <= 2) | ((F.col("dist") == 3) & (F.col("others") <= 2))) | ((F.col("L") >= SWAPS) & (F.col("others") == 0) & (F.col("dist") > 2))
     return near.where(good).select("t", "name", "dist")
 
 
