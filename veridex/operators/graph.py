@@ -94,17 +94,17 @@ def author_products(edges: DataFrame, member: str, product: str) -> DataFrame:
     return edges.groupBy(member).agg(F.sort_array(F.collect_set(product)).alias("products"))
 
 
-def connected_components(edges: DataFrame, u: str, v: str, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the least id of each node's component, by alternating large-star and small-star steps.
+def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """(id, component): the least id of each node's component, by alternating large-star and small-star steps until nothing changes.
 
-    Needs a number of rounds logarithmic in the longest path; every round is cut by a reliable checkpoint.
+    The number of rounds grows with the logarithm of the longest path; every round is cut by a reliable checkpoint.
     """
     from ..session import checkpoint
 
     pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b").distinct()
     nodes = edges.select(F.explode(F.array(u, v)).alias("id")).distinct()
     pairs, before = checkpoint(pairs), None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

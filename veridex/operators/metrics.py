@@ -15,10 +15,26 @@ def density(edges: DataFrame, u: str, v: str) -> DataFrame:
     return counted.withColumn("density", F.try_divide("edges", F.col("left") * F.col("right")))
 
 
+#: Neighbours of a node that meet within one join key; a node with more is cut into blocks of as many, every pair of blocks a key of its own.
+BLOCK = 2_000
+
+
+def wedges(links: DataFrame, center: str, end: str) -> DataFrame:
+    """(center, x, y): pairs x < y of the ends of each center, from distinct (center, end) ``links``.
+
+    A center's ends fall into blocks by a hash, so the pairs of one with a tenth of all ends are spread over many tasks.
+    """
+    blocks = links.groupBy(center).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = links.join(blocks, center).select(center, F.col(end).alias("x"), F.pmod(F.xxhash64(end), F.col("blocks")).alias("k"), "blocks")
+    left = cut.select(center, "x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"))
+    right = cut.select(center, F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), "k")).alias("i"), F.col("k").alias("j"))
+    return left.join(right, [center, "i", "j"]).where("i < j and x <> y or x < y").select(center, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def _common(edges: DataFrame, node: str, via: str) -> DataFrame:
     """(x, y, common): pairs x < y of ``node`` with the number of shared neighbours."""
-    e = edges.select(F.col(node).alias("n"), F.col(via).alias("w")).distinct()
-    return e.withColumnRenamed("n", "x").join(e.withColumnRenamed("n", "y"), "w").where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
+    e = checkpoint(edges.select(F.col(node).alias("n"), F.col(via).alias("w")).distinct())
+    return wedges(e, "w", "n").groupBy("x", "y").agg(F.count("*").alias("common"))
 
 
 def clustering(edges: DataFrame, node: str, via: str, mode: str = "dot") -> DataFrame:
@@ -34,10 +50,13 @@ def clustering(edges: DataFrame, node: str, via: str, mode: str = "dot") -> Data
 
 def redundancy(edges: DataFrame, node: str, via: str) -> DataFrame:
     """Share of the pairs of a node's neighbours that another node links too; null below two neighbours."""
-    e = edges.select(F.col(node).alias("n"), F.col(via).alias("w")).distinct()
-    linked = e.withColumnRenamed("w", "a").join(e.withColumnRenamed("w", "b"), "n").where("a < b")
-    shared = linked.groupBy("a", "b").agg(F.count("*").alias("c")).where("c >= 2").select("a", "b")
-    hits = linked.join(shared, ["a", "b"], "left_semi").groupBy("n").agg(F.count("*").alias("hits"))
+    e = checkpoint(edges.select(F.col(node).alias("n"), F.col(via).alias("w")).distinct())
+    # a pair met once is dropped on the spot; one met twice names both nodes by itself, and only pairs met more often are looked up again
+    met = checkpoint(wedges(e, "n", "w").groupBy("x", "y").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("c >= 2"))
+    often = met.where("c > 2").select("x", "y", "lo", "hi")
+    a, b = e.withColumnRenamed("w", "x"), e.withColumnRenamed("w", "y")
+    between = often.join(a, "x").where("n > lo and n < hi").join(b, ["y", "n"]).select("n")
+    hits = met.select(F.explode(F.array("lo", "hi")).alias("n")).unionByName(between).groupBy("n").agg(F.count("*").alias("hits"))
     deg = degrees(e, "n")
     return deg.join(hits.withColumnRenamed("n", "id"), "id", "left").select("id", F.when(F.col("degree") >= 2, F.coalesce("hits", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1) / 2)).alias("redundancy"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .graph import degrees, favorable
 
 DAY = 86_400
@@ -22,11 +23,13 @@ def close_pairs(edges: DataFrame, center: str, end: str, window: int = WINDOW) -
     """(u, v, center): ends that share a center within less than ``window`` seconds, u < v.
 
     The band is part of the join key: a row keeps its bucket of ``window`` seconds and meets rows of the same
-    and the two neighbouring buckets, so a center with many edges is split by time instead of paired all with all.
+    and the preceding bucket, so a center with many edges is split by time instead of paired all with all.
     """
-    left = edges.select(F.col(center).alias("c"), F.col(end).alias("u"), F.col("t").alias("tu"), F.floor(F.col("t") / window).alias("b"))
-    right = edges.select(F.col(center).alias("c"), F.col(end).alias("v"), F.col("t").alias("tv"), F.explode(F.array(*[F.floor(F.col("t") / window) + k for k in (-1, 0, 1)])).alias("b"))
-    return left.join(right, ["c", "b"]).where((F.col("u") < F.col("v")) & (F.abs(F.col("tu") - F.col("tv")) < window)).select("u", "v", F.col("c").alias(center))
+    bucket = F.floor(F.col("t") / window)
+    left = edges.select(F.col(center).alias("c"), F.col(end).alias("u"), F.col("t").alias("tu"), bucket.alias("b"))
+    right = edges.select(F.col(center).alias("c"), F.col(end).alias("v"), F.col("t").alias("tv"), F.explode(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("before")), F.struct((bucket + 1).alias("b"), F.lit(True).alias("before")))).alias("k")).select("c", "v", "tv", "k.b", "k.before")
+    met = left.join(right, ["c", "b"]).where(((F.col("before") & (F.col("u") != F.col("v"))) | (F.col("u") < F.col("v"))) & (F.abs(F.col("tu") - F.col("tv")) < window))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("c").alias(center))
 
 
 def member_projection(edges: DataFrame, window: int = WINDOW, star: float = 4.0, keep: DataFrame | None = None) -> DataFrame:
@@ -35,7 +38,7 @@ def member_projection(edges: DataFrame, window: int = WINDOW, star: float = 4.0,
     ``edges`` has m, p, t (seconds), star, one row per (m, p). ``keep`` names products that pass a gate. The weight is
     cnt over the larger favourable degree of both.
     """
-    good = favorable(edges, "star", star)
+    good = checkpoint(favorable(edges, "star", star).select("m", "p", "t"))  # read for the pairs and for the degrees
     paired = good if keep is None else good.join(keep.select("p"), "p", "left_semi")
     counted = close_pairs(paired, "p", "m", window).groupBy("u", "v").agg(F.count("*").alias("cnt")).where("cnt > 1")
     return _normalised(counted, degrees(good, "m"), F.greatest).withColumnsRenamed({"u": "m1", "v": "m2"})
@@ -43,7 +46,7 @@ def member_projection(edges: DataFrame, window: int = WINDOW, star: float = 4.0,
 
 def product_projection(edges: DataFrame, window: int = WINDOW, star: float = 4.0) -> DataFrame:
     """Products favourably reviewed by one member close in time: (p1, p2, cnt, denom, weight), weight over the smaller degree."""
-    good = favorable(edges, "star", star)
+    good = checkpoint(favorable(edges, "star", star).select("m", "p", "t"))
     counted = close_pairs(good, "m", "p", window).groupBy("u", "v").agg(F.count("*").alias("cnt"))
     return _normalised(counted, degrees(good, "p"), F.least).withColumnsRenamed({"u": "p1", "v": "p2"})
 

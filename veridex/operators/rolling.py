@@ -19,9 +19,10 @@ def trailing_totals(df: DataFrame, entity: str, day: str, value: str, windows: S
 
     Result: entity, first_active, last_active DATE, from_day, to_day DATE (both included), and n_w BIGINT, sum_w DOUBLE per
     window w. The runs of an entity cover every day from its first active one to the day its longest window empties.
-    Rows with a null entity, day or value, or a value that is NaN, are left out; an empty input gives an empty result; repeated rows each count.
+    Values are summed as decimals of six digits after the point, so that a total does not depend on the days before its window.
+    Rows with a null entity, day or value, or a value that is NaN or beyond a decimal of 24 digits, are left out; an empty input gives an empty result; repeated rows each count.
     """
-    real = F.nanvl(F.col(f"`{value}`").cast("double"), F.lit(None).cast("double"))
+    real = F.nanvl(F.col(f"`{value}`").cast("double"), F.lit(None).cast("double")).try_cast("decimal(24,6)")
     rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{day}`").cast("date").alias("d"), real.alias("v"))
     daily = rows.where("e is not null and d is not null and v is not null").groupBy("e", "d").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     by_day = W.partitionBy("e").orderBy("d")
@@ -39,11 +40,11 @@ def trailing_totals(df: DataFrame, entity: str, day: str, value: str, windows: S
     at = lambda c, zero: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(zero))
     filled = laid.select(
         "e", "first_active", "last_active", "t", F.lead("t").over(W.partitionBy("e").orderBy("t")).alias("next"),
-        *[at(f"n{w}", 0).alias(f"n{w}") for w in (0, *windows)], *[at(F.col(f"s{w}.s"), 0.0).alias(f"s{w}") for w in (0, *windows)],
+        *[at(f"n{w}", 0).alias(f"n{w}") for w in (0, *windows)], *[at(F.col(f"s{w}.s"), 0).alias(f"s{w}") for w in (0, *windows)],
     )
     return filled.select(
         F.col("e").alias(entity), "first_active", "last_active", F.col("t").alias("from_day"), F.coalesce(F.date_sub("next", 1), F.col("t")).alias("to_day"),
-        *[c for w in windows for c in ((F.col("n0") - F.col(f"n{w}")).alias(f"n_{w}"), (F.col("s0") - F.col(f"s{w}")).alias(f"sum_{w}"))],
+        *[c for w in windows for c in ((F.col("n0") - F.col(f"n{w}")).alias(f"n_{w}"), (F.col("s0") - F.col(f"s{w}")).cast("double").alias(f"sum_{w}"))],
     )
 
 

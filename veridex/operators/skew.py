@@ -29,7 +29,7 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequ
     key costs 256 rows per task however many rows it has), finds the bin with the rank and keeps that bin's own least
     and greatest value as the next interval, until every interval is one value. No key's values are ever gathered. Intervals of
     hot keys (a thousandth of the rows or more, so at most 1,000 per field) are broadcast to the rows; the
-    others meet their rows in a shuffle, where by definition no key is large.
+    others meet their rows in a shuffle, which the rows of hot keys are taken out of before.
 
     Result: key_field, key_value STRING, n_rows BIGINT (rows with the key), n_values BIGINT (with a value that is neither null nor NaN),
     q_<percent> DOUBLE per probability: the value of rank max(1, ceil(p * n_values)), null if there is none. Blank keys are
@@ -44,6 +44,9 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequ
         "field", "key", "lo", "hi", F.lit(0).cast("bigint").alias("below"), (F.col("n") >= F.lit(HOT_SHARE) * total).alias("hot"),
         F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("nv") * F.lit(float(p)))).alias("rank")) for p in probs])).alias("t"),
     ).select("field", "key", "lo", "hi", "below", "hot", "t.p", "t.rank")
+    # at most 1 / HOT_SHARE keys of a field: their rows never enter a shuffle
+    hot_keys = F.broadcast(stats.where(F.col("n") >= F.lit(HOT_SHARE) * total).select("field", "key"))
+    others = rows.join(hot_keys, ["field", "key"], "left_anti")
     done = spark.createDataFrame([], "field string, key string, p double, q double")
     while True:
         done = done.unionByName(targets.where("lo = hi").select("field", "key", "p", F.col("lo").alias("q")))
@@ -53,7 +56,7 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequ
         where = open_.select("field", "key", "lo", "hi", "hot").distinct()
         inside = [  # hot intervals travel to the rows, the others meet them by key
             rows.join(F.broadcast(where.where("hot")), ["field", "key"]),
-            rows.join(where.where("not hot"), ["field", "key"]) if min_share < HOT_SHARE else None,
+            others.join(where.where("not hot"), ["field", "key"]) if min_share < HOT_SHARE else None,
         ]
         bins = None
         for x in filter(None, inside):

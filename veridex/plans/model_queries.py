@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators import hardem as H
 from ..operators import information as I
 from ..operators import mixture as X
 from ..operators import projection as P
-from ..session import checkpoint, table
+from ..session import checkpoint, shared_folder, table
 from ..sources import graphs, records
 from ..streaming import items as S
 from .data_quality import reviews_utc
@@ -334,15 +334,12 @@ def synthetic_hard_em(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under the session's checkpoint folder, or a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="veridex-files-")
-    return f"{base.rstrip('/')}/files-{os.urandom(6).hex()}"
+    """A new folder that all executors share, under the session's checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/files-{os.urandom(6).hex()}"
 
 
 def _local(folder: str) -> str:
-    return folder.removeprefix("file://")
+    return re.sub("^file:/+", "/", folder)
 
 
 @R.add("jsonl_roundtrip", "select id, fullname, location, ranking from members")

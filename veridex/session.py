@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,22 +16,26 @@ BROADCAST_ROWS = 20_000
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back, cutting its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none (local tests).
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``. Where that is unset, one is made for a
+    session whose executors are threads of this process (tests); a cluster without one is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veridex-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """As :func:`checkpoint`, but as a compressed table in the same folder: half the disk for wide rows."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpoint(df.sparkSession.range(1))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
 from xml.sax.saxutils import escape, quoteattr
 
@@ -17,17 +16,10 @@ _BACK = {"int": "int", "integer": "int", "bigint": "long", "float": "double", "d
 
 
 def _declared(spark: SparkSession, path: str, key_tag: str, of: str) -> list[tuple[str, str, str]]:
-    """(key id, name, type) of the attributes a file declares for nodes or edges; a short list at its head."""
-    head, out = [], []
-    for row in spark.read.text(path).limit(2000).toLocalIterator():
-        head.append(row.value)
-        if re.search(r"<node\b", row.value):
-            break
-    for tag in re.finditer(rf"<{key_tag}\b([^>]*)>", " ".join(head)):
-        attrs = dict(re.findall(r'([\w.:-]+)\s*=\s*"([^"]*)"', tag.group(1)))
-        if attrs.get("for", of) == of:
-            out.append((attrs["id"], attrs.get("attr.name", attrs["id"]), attrs.get("attr.type", "string")))
-    return out
+    """(key id, name, type) of the attributes a file declares for nodes or edges, wherever it does; a file has as many as its nodes have columns."""
+    keys = spark.read.format("xml").option("rowTag", key_tag).schema("_id string, _for string, `_attr.name` string, `_attr.type` string").load(path)
+    rows = keys.where(F.col("_id").isNotNull() & (F.coalesce("_for", F.lit(of)).isin(of, "all"))).collect()
+    return [(r["_id"], r["_attr.name"] or r["_id"], r["_attr.type"] or "string") for r in rows]
 
 
 def _section(path: str, spark: SparkSession, tag: str, schema: str) -> DataFrame:
