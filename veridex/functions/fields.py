@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: the patterns by which ids and numbers are found in pages
@@ -94,3 +94,9 @@ def absolute_url(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(origin, href))
         .otherwise(F.concat(folder, F.lit("/"), href))
     )
+
+
+def register(spark: SparkSession) -> None:
+    """Make the scalar functions known to SQL; they are expressions, not code run by row."""
+    for name, body in {"lower_case": "lower(s)", "keep_text": "nullif(s, '')", "remove_commas": "replace(s, ',', '')", "ascii_only": r"regexp_replace(s, '[^\\x00-\\x7F]', '')"}.items():
+        spark.sql(f"create or replace temporary function {name}(s string) returns string return {body}")

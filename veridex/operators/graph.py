@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fields import ascii_only, epoch_seconds
+
 #: Stars from which a review is favourable.
 FAVORABLE = 4.0
 
@@ -125,3 +128,44 @@ def dense_ids(nodes: DataFrame, part: str, key: str) -> DataFrame:
     ranged = checkpoint(nodes.select(part, key).repartitionByRange(F.col(part), F.col(key)).sortWithinPartitions(part, key).withColumn("__p", F.spark_partition_id()))
     starts = ranged.groupBy("__p").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(W.orderBy("__p")) - F.col("n"))  # one row per partition
     return ranged.join(F.broadcast(starts), "__p").withColumn("dense_id", F.col("start") + F.row_number().over(W.partitionBy("__p").orderBy(part, key)) - 1).select(part, key, "dense_id")
+
+
+@dataclass
+class ReviewGraph:
+    """Review records as a graph: members and products with their attributes, edges, and the ids of both sides."""
+
+    members: DataFrame
+    products: DataFrame
+    edges: DataFrame
+    ids: DataFrame
+
+
+def review_graph(reviews: DataFrame, members: DataFrame, products: DataFrame, latest: Sequence[str], edge_metadata: bool = True, node_metadata: bool = True) -> ReviewGraph:
+    """The graph of crawled records (schemas of :mod:`veridex.sources.records`).
+
+    A review without a member or product hangs on its own id. Reviews of one member and product become one edge with the last value of each
+    attribute, by ``latest``; written dates become seconds, votes a ratio, texts lose what is not ASCII. Of several records of one id
+    the greatest value of an attribute counts, in the order of its type. ``members`` and ``products`` hold every id named by a record or, where given, by a
+    review, and the larger of the recorded and the seen number of reviews. Reviews that name neither id nor partner are left out.
+    """
+    r = key_fallback(key_fallback(reviews, "memberId", "id"), "productId", "id").where("memberId is not null and productId is not null")
+    r = helpful_ratio(r, "helpful").withColumns({"seconds": epoch_seconds(F.col("date")), "title": ascii_only(F.col("title")), "reviewTxt": ascii_only(F.col("reviewTxt"))})
+    values = ["starRating", "seconds", "helpful_ratio", "helpful_total", "title", "reviewTxt", "verifiedPurchase", "nComments", "vine", "id"] if edge_metadata else []
+    edges = collapse_edges(r, ["memberId", "productId"], latest, values) if values else r.select("memberId", "productId").distinct()
+    edges = edges.withColumnsRenamed({"memberId": "member", "productId": "product"})
+    given = lambda c, kind: r.where(f"{c}_known").select(F.col(c).alias("id"), F.lit(kind).alias("kind"))
+    ids = given("memberId", "member").unionByName(given("productId", "product"))
+    if not node_metadata:
+        ids = ids.distinct()
+        only = lambda kind: ids.where(F.col("kind") == kind).select("id")
+        return ReviewGraph(only("member"), only("product"), edges, ids)
+    named = lambda df, kind: df.select("id", F.lit(kind).alias("kind"))
+    ids = ids.unionByName(named(members, "member")).unionByName(named(products, "product")).where("id is not null").distinct()
+
+    def side(records: DataFrame, kind: str, end: str, stat: str) -> DataFrame:
+        one = records.where("id is not null").groupBy("id").agg(*[F.max(c).alias(c) for c in records.columns if c != "id"])
+        nodes = ids.where(F.col("kind") == kind).select("id").join(one, "id", "left")
+        return stat_or_degree(nodes, "id", F.col(stat), degrees(edges, end), "__stat").drop(stat).withColumnRenamed("__stat", stat)
+
+    people = helpful_ratio(members, "helpfulStat").drop("helpfulStat")
+    return ReviewGraph(side(people, "member", "member", "reviewStat"), side(products, "product", "product", "nReviews"), edges, ids)

@@ -20,15 +20,21 @@ BLOCK = 2_000
 
 
 def wedges(links: DataFrame, center: str, end: str) -> DataFrame:
-    """(center, x, y): pairs x < y of the ends of each center, from distinct (center, end) ``links``.
+    """(center, x, y): pairs x < y of the ends of each center, from distinct (center, end) ``links``, which are read several times.
 
-    A center's ends fall into blocks by a hash, so the pairs of one with a tenth of all ends are spread over many tasks.
+    The ends of a center with more than BLOCK fall into blocks by a hash, so the pairs of one with a tenth of all ends are spread over many tasks.
     """
-    blocks = links.groupBy(center).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = links.join(blocks, center).select(center, F.col(end).alias("x"), F.pmod(F.xxhash64(end), F.col("blocks")).alias("k"), "blocks")
+    large = checkpoint(links.groupBy(center).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
+    spread = not large.isEmpty()
+    small = links.join(large.select(center), center, "left_anti") if spread else links
+    pairs = small.withColumnRenamed(end, "x").join(small.withColumnRenamed(end, "y"), center).where("x < y").select(center, "x", "y")
+    if not spread:
+        return pairs
+    cut = links.join(large, center).select(center, F.col(end).alias("x"), F.pmod(F.xxhash64(end), F.col("blocks")).alias("k"), "blocks")
     left = cut.select(center, "x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"))
     right = cut.select(center, F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), "k")).alias("i"), F.col("k").alias("j"))
-    return left.join(right, [center, "i", "j"]).where("i < j and x <> y or x < y").select(center, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    met = left.join(right, [center, "i", "j"]).where("i < j or x < y")
+    return pairs.unionByName(met.select(center, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
 
 
 def _common(edges: DataFrame, node: str, via: str) -> DataFrame:
@@ -51,12 +57,11 @@ def clustering(edges: DataFrame, node: str, via: str, mode: str = "dot") -> Data
 def redundancy(edges: DataFrame, node: str, via: str) -> DataFrame:
     """Share of the pairs of a node's neighbours that another node links too; null below two neighbours."""
     e = checkpoint(edges.select(F.col(node).alias("n"), F.col(via).alias("w")).distinct())
-    # a pair met once is dropped on the spot; one met twice names both nodes by itself, and only pairs met more often are looked up again
-    met = checkpoint(wedges(e, "n", "w").groupBy("x", "y").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("c >= 2"))
-    often = met.where("c > 2").select("x", "y", "lo", "hi")
-    a, b = e.withColumnRenamed("w", "x"), e.withColumnRenamed("w", "y")
-    between = often.join(a, "x").where("n > lo and n < hi").join(b, ["y", "n"]).select("n")
-    hits = met.select(F.explode(F.array("lo", "hi")).alias("n")).unionByName(between).groupBy("n").agg(F.count("*").alias("hits"))
+    # pairs of nodes that share a neighbour first, then the pairs of neighbours each of these shares: what is enumerated are the
+    # rectangles that make a pair redundant, not all pairs of a node's neighbours
+    shared = checkpoint(wedges(e, "w", "n").select(F.struct("x", "y").alias("c"), "w"))
+    twice = wedges(shared, "c", "w").select(F.explode(F.array("c.x", "c.y")).alias("n"), "x", "y").distinct()
+    hits = twice.groupBy("n").agg(F.count("*").alias("hits"))
     deg = degrees(e, "n")
     return deg.join(hits.withColumnRenamed("n", "id"), "id", "left").select("id", F.when(F.col("degree") >= 2, F.coalesce("hits", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1) / 2)).alias("redundancy"))
 
@@ -78,3 +83,22 @@ def bfs_depth(edges: DataFrame, u: str, v: str, seeds: DataFrame, max_depth: int
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
+
+
+def statistics(edges: DataFrame, node: str, via: str, seeds: DataFrame | None = None, calc_redundancy: bool = True, calc_clustering: bool = True) -> DataFrame:
+    """(id, [depth], [redundancy], [clustering]) of every ``node`` of a bipartite graph, each measure only where asked.
+
+    Depth is given with ``seeds`` (id, ends of ``node``) and counts edges; it is null out of reach.
+    """
+    out = edges.select(F.col(node).alias("id")).distinct()
+    if seeds is not None:
+        # ends of the two sides may have equal names
+        links = edges.select(F.struct(F.lit(0).alias("side"), F.col(node).cast("string").alias("id")).alias("a"), F.struct(F.lit(1).alias("side"), F.col(via).cast("string").alias("id")).alias("b"))
+        start = seeds.select(F.struct(F.lit(0).alias("side"), F.col("id").cast("string").alias("id")).alias("id"))
+        depth = bfs_depth(links, "a", "b", start).where("id.side = 0").select(F.col("id.id").alias("at"), "depth")
+        out = out.join(depth, F.col("id").cast("string") == F.col("at"), "left").drop("at")
+    if calc_redundancy:
+        out = out.join(redundancy(edges, node, via), "id", "left")
+    if calc_clustering:
+        out = out.join(clustering(edges, node, via, "min"), "id", "left")
+    return out

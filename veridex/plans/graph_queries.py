@@ -261,3 +261,16 @@ def adjacency(spark, sf_dir):
     f = favorable_edges(spark, sf_dir).select(F.concat(F.lit("m"), F.col("m")).alias("a"), F.concat(F.lit("p"), F.col("p")).alias("b"))
     both = f.select(F.col("a").alias("id"), F.col("b").alias("n")).unionByName(f.select(F.col("b").alias("id"), F.col("a").alias("n")))
     return both.groupBy("id").agg(F.count("*").alias("degree"), F.min("n").alias("first_neighbor"), F.max("n").alias("last_neighbor"))
+
+
+@R.add("graph_statistics", f"""with recursive {EDGES_SQL}, b as (select 'p' || p as a, 'm' || m as b from fav union all select 'm' || m, 'p' || p from fav),
+  walk(id, depth) as (select 'p' || min(p), 0 from fav union select b, depth + 1 from walk join b on a = id where depth < 6), w as (select id, min(depth) as depth from walk group by id),
+  l as (select a.p, a.m as a, b.m as b from fav a join fav b on a.p = b.p and a.m < b.m), s as (select a, b from l group by all having count(*) >= 2), h as (select p, count(*) as h from l semi join s using (a, b) group by p),
+  d as (select p, count(*) as d from fav group by p), c as (select a.p as x, b.p as y, count(*) as c from fav a join fav b on a.m = b.m and a.p <> b.p group by all),
+  k as (select x, avg(c / least(dx.d, dy.d)) as k from c join d dx on dx.p = x join d dy on dy.p = y group by x)
+select d.p as id, depth, case when d >= 2 then round(coalesce(h, 0) / (d * (d - 1) / 2), 8) end as redundancy, round(coalesce(k, 0), 8) as clustering from d left join h using (p) left join k on x = d.p left join w on w.id = 'p' || d.p""")
+def graph_statistics(spark, sf_dir):
+    """Depth, redundancy and clustering attached to the products of the favourable edges; here all lie within six edges of the first."""
+    e = checkpoint(favorable_edges(spark, sf_dir))
+    found = M.statistics(e, "p", "m", e.agg(F.min("p").alias("id")))
+    return found.select("id", "depth", F.round("redundancy", 8).alias("redundancy"), F.round("clustering", 8).alias("clustering"))

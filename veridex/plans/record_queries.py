@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as X
-from ..functions.pages import page_fields, review_rows
+from ..functions.fields import register
+from ..functions.pages import member_profiles, page_fields, product_details, review_rows
 from ..operators import crawl as C
+from ..operators import graph as G
 from ..session import table
 from .registry import Registry
 
@@ -212,3 +214,127 @@ def dedup_first(spark, sf_dir):
 @R.add("seed_scan", "select distinct Type as type, ID as id from seeds")
 def seed_scan(spark, sf_dir):
     return C.checked_seeds(table(spark, sf_dir, "seeds"), "Type", "ID")
+
+
+# --- pages of three layouts, built from parts; what they hold is known ---
+
+
+def _product_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k, layout = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    price = F.concat(F.lit("$"), F.format_number("p_retailprice", 2))
+    stars = F.concat((F.col("p_size") % 5 + 1).cast("string"), F.lit(".5 out of 5 stars"))
+    reviews = F.concat(F.lit('<a href="/product-reviews/'), k, F.lit('">'), F.format_number(F.col("p_partkey") * 7 + 1, 0), F.lit(" reviews</a>"))
+    rank = F.concat(F.lit("<b>Best Sellers Rank:</b> #"), F.format_number(F.col("p_partkey") + 1, 0), F.lit(" in "), "p_type", F.lit(' (<a href="/best-sellers/'), k, F.lit('">See Top 100</a>)'))
+    ladder = F.concat(F.lit('<ul><li class="zg_hrsr_item"><span class="zg_hrsr_rank">#'), F.col("p_size").cast("string"), F.lit('</span><span class="zg_hrsr_ladder">in <a href="/up">Up</a> &gt; <a href="/down/'), k, F.lit('">Down &amp; Out</a></span></li></ul>'))
+    ladder = F.when(F.col("p_partkey") % 2 == 0, ladder).otherwise("")
+    first = F.concat(F.lit('<body><div class="buying"><h1 class="parseasinTitle"><span id="btAsinTitle"> '), "p_name", F.lit(' </span></h1><a href="/maker/1">'), "p_brand", F.lit('</a></div><b id="x"><span id="actualPriceValue"><i>'), price, F.lit('</i></span></b><div id="centerCol"><div id="averageCustomerReviews"><span title="'), stars, F.lit('"></span>'), reviews, F.lit('</div></div><ul><li id="SalesRank">'), rank, ladder, F.lit("</li></ul>"))
+    second = F.concat(F.lit('<body><div id="title_feature_div"><h1>'), "p_name", F.lit('</h1></div><div id="brandByline_feature_div"><a id="brand" href="/maker/2">'), "p_brand", F.lit('</a></div><div id="price"><span class="a-color-price a-size">'), price, F.lit('</span></div><form id="handleBuy"><span class="crAvgStars"><span title="'), stars, F.lit('"></span>'), reviews, F.lit('</span></form><div id="detailBullets"><span><b>Weight</b> 2</span><span>'), rank, ladder, F.lit("</span></div>"))
+    third = F.concat(F.lit("<head><title>Shop: "), "p_name", F.lit(': Home</title></head><body><span class="contributorNameTrigger"><a href="/maker/3">'), "p_brand", F.lit('</a></span><table><tr id="SalesRank"><td>'), rank, ladder, F.lit("</td></tr></table>"))
+    return p.select("p_partkey", F.when(layout == 0, first).when(layout == 1, second).otherwise(third).alias("html"))
+
+
+_DETAILS = f"""select cast(p_partkey as varchar) as key, p_name as name, case when p_partkey % 3 < 2 then p_retailprice end as price, p_brand as maker, '/maker/' || (p_partkey % 3 + 1) as maker_href,
+  case when p_partkey % 3 < 2 then p_size % 5 + 1.5::double end as avg_stars, case when p_partkey % 3 < 2 then (p_partkey * 7 + 1)::int end as n_reviews, (p_partkey + 1)::int as sales_rank, p_type as category,
+  case when p_partkey % 2 = 0 then p_size end as sub_rank, case when p_partkey % 2 = 0 then 'Down & Out' end as sub_category, case when p_partkey % 2 = 0 then '/down/' else '/best-sellers/' end || p_partkey as category_href from part"""
+
+
+@R.add("product_page_details", _DETAILS)
+def product_page_details(spark, sf_dir):
+    return product_details(_product_pages(spark, sf_dir), "p_partkey", "html")
+
+
+@R.add("product_page_requests", f"""with d as ({_DETAILS}) select key, 'category' as kind, '{_BASE}' || category_href as url from d union all select key, 'maker', '{_BASE}' || maker_href from d
+union all select key, 'reviews', '{_BASE}/product-reviews/' || key || '?page=1' from d""")
+def product_page_requests(spark, sf_dir):
+    """What the pages of products lead to."""
+    return C.follow_ups(product_details(_product_pages(spark, sf_dir), "p_partkey", "html"), _BASE)
+
+
+@R.add("member_page_profiles", """select cast(c_custkey as varchar) as key, c_name as fullname, case when c_custkey % 2 = 0 then 'REAL NAME;TOP 100' else '' end as badges, (c_custkey + 5000)::int as ranking, (c_custkey % 9)::int as votes, (c_custkey % 9 + 3)::int as voters,
+  case when c_custkey % 3 > 0 then c_mktsegment || ', X' end as location, (case when c_custkey % 4 = 0 then 2 else c_custkey + 10 end)::int as review_stat from customer where c_custkey % 7 <> 6""")
+def member_page_profiles(spark, sf_dir):
+    """Profiles of members; those that are not available are left out."""
+    k = F.col("c_custkey")
+    n = lambda c: F.format_number(c, 0)
+    badges = F.when(k % 2 == 0, '<div class="badges"><a><img alt="badge (REAL NAME)"></a><a><img alt="other"></a><a><img alt="x (TOP 100)"></a></div>').otherwise("")
+    ranking = F.when(k % 2 == 0, F.concat(F.lit("Top Reviewer Ranking: "), n(k + 5000))).otherwise(F.concat(F.lit("Reviewer Ranking: <a>#"), n(k + 5000), F.lit("</a>")))
+    votes = F.concat(F.lit(" Helpful Votes: "), (k % 9).cast("string"), F.lit(" of "), (k % 9 + 3).cast("string"))
+    seen = F.when(k % 4 == 0, '<div class="stripeContent"><span><img alt="5 stars"></span><span><img alt="3 stars"></span></div>').otherwise(F.concat(F.lit('<div class="seeAll"><a>See all '), n(k + 10), F.lit(" reviews</a></div>")))
+    place = F.when(k % 3 > 0, F.concat(F.lit("<b>Location:</b> "), "c_mktsegment", F.lit(", X"))).otherwise("<i>none</i>")
+    page = F.concat(F.lit('<div id="profileHeader"><h1><b>'), "c_name", F.lit("</b></h1>"), badges, F.lit('</div><td id="pdpLeftColumn"><div class="personalDetails big">'), place, F.lit('</div></td><div id="reviewsStripe"><div class="stripeContent"><div>'), ranking, votes, F.lit("</div></div>"), seen, F.lit("</div>"))
+    gone = F.lit('<b class="h1">Sorry, this customer\'s list of reviews is currently not available</b>')
+    found = member_profiles(table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 7 == 6, gone).otherwise(page).alias("html")), "c_custkey", "html")
+    return found.select("key", "fullname", F.array_join("badges", ";").alias("badges"), "ranking", F.get("helpful", F.lit(0)).alias("votes"), F.get("helpful", F.lit(1)).alias("voters"), "location", "review_stat")
+
+
+@R.add("related_fallback", """with t as (select p_partkey, case when p_partkey % 2 = 0 then list_transform(range(0, p_size), lambda x: 'a' || x) when p_partkey % 3 = 0 then null else [] end as a, list_transform(range(0, p_size // 5), lambda x: 'b' || x) as b from part)
+select p_partkey, unnest((case when len(a) > 0 then a else b end)[:6]) as link from t""")
+def related_fallback(spark, sf_dir):
+    """Links of the same maker: the second place to look where the first has none, and the first six."""
+    numbered = lambda n, c: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.concat(F.lit(c), x.cast("string")))).otherwise(F.array().cast("array<string>"))
+    first = F.when(F.col("p_partkey") % 2 == 0, numbered(F.col("p_size"), "a")).when(F.col("p_partkey") % 3 != 0, F.array().cast("array<string>"))
+    second = numbered(F.floor(F.col("p_size") / 5).cast("int"), "b")
+    return C.related_links(table(spark, sf_dir, "part"), first, second).select("p_partkey", "link")
+
+
+@R.add("next_pages", """select o_orderkey, o_orderkey % 9 + 1 < case when o_orderkey % 4 = 0 then 1 else o_custkey % 12 end as product_more, o_orderkey % 3 = 0 as member_more from orders""")
+def next_pages(spark, sf_dir):
+    """Whether a page of reviews is followed by another, by the rule of product pages and by that of member pages."""
+    o = F.col("o_orderkey")
+    link = F.when(o % 4 != 0, F.concat(F.lit(" "), (F.col("o_custkey") % 12).cast("string"), F.lit(" "))).otherwise(F.when(o % 8 == 0, "none"))
+    bar = F.when(o % 3 == 0, F.concat(F.lit("1 "), F.lit(" 2 | Next"))).when(o % 3 == 1, "1 2")
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.more_product_pages(o % 9 + 1, link).alias("product_more"), C.more_member_pages(bar).alias("member_more"))
+
+
+@R.add("max_page_by_type", "select Type as type, ID as id, p::int as page from (select distinct Type, ID from seeds), unnest([1, 5, 20, 31]) t(p) where p <= case when Type = 'm' then 5 else 30 end")
+def max_page_by_type(spark, sf_dir):
+    s = C.checked_seeds(table(spark, sf_dir, "seeds"), "Type", "ID")
+    requests = s.withColumn("page", F.explode(F.array(*map(F.lit, (1, 5, 20, 31))))).withColumn("depth", F.lit(0))
+    return C.allowed_requests(requests, max_pages={"m": 5, "p": 30}).select("type", "id", "page")
+
+
+@R.add("registered_functions", "select distinct id, lower(cat) as cat, nullif(trim(subCat), '') as sub_cat from products")
+def registered_functions(spark, sf_dir):
+    """The scalar functions registered for SQL."""
+    register(spark)
+    table(spark, sf_dir, "products").createOrReplaceTempView("veridex_products")
+    return spark.sql("select distinct id, lower_case(cat) as cat, keep_text(trim(subCat)) as sub_cat from veridex_products")
+
+
+# --- crawled records to a graph in one call ---
+
+
+def _graph(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return G.review_graph(t("reviews").drop("page_type", "site", "crawled_at"), t("members"), t("products"), ["row_no"])
+
+
+_GRAPH = """with r as (select coalesce(memberId, id) as m, coalesce(productId, id) as p, * from reviews where coalesce(memberId, id) is not null and coalesce(productId, id) is not null),
+e as (select m as member, p as product, arg_max(starRating, row_no) as star, arg_max(case when regexp_full_match(date, '(?i)(January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}') then cast(epoch(try_strptime(date, '%B %d, %Y')) as bigint) end, row_no) as seconds,
+  round(arg_max(case when len(helpful) >= 2 and helpful[2] <> 0 then helpful[1] / helpful[2] end, row_no), 8) as helpful_ratio, md5(arg_max(regexp_replace(reviewTxt, '[^\\x00-\\x7F]', '', 'g'), row_no)) as text_md5 from r group by all),
+i as (select memberId as id, 'member' as kind from r where memberId is not null union select productId, 'product' from r where productId is not null union select id, 'member' from members union select id, 'product' from products)
+"""
+
+
+@R.add("crawl_graph_edges", _GRAPH + "select * from e")
+def crawl_graph_edges(spark, sf_dir):
+    e = _graph(spark, sf_dir).edges
+    return e.select("member", "product", F.col("starRating").alias("star"), "seconds", F.round("helpful_ratio", 8).alias("helpful_ratio"), F.md5(F.col("reviewTxt").cast("binary")).alias("text_md5"))
+
+
+@R.add("crawl_graph_ids", _GRAPH + "select * from i where id is not null")
+def crawl_graph_ids(spark, sf_dir):
+    return _graph(spark, sf_dir).ids
+
+
+@R.add("crawl_graph_members", _GRAPH + """, d as (select member, count(*) as d from e group by member), a as (select id, max(fullname) as fullname, max(reviewStat) as s from members group by id)
+select i.id, fullname, greatest(coalesce(s, 0), coalesce(d, 0))::bigint as review_stat from i left join a using (id) left join d on d.member = i.id where kind = 'member' and i.id is not null""")
+def crawl_graph_members(spark, sf_dir):
+    return _graph(spark, sf_dir).members.select("id", "fullname", F.col("reviewStat").alias("review_stat"))
+
+
+@R.add("crawl_graph_products", _GRAPH + """, d as (select product, count(*) as d from e group by product), a as (select id, max(name) as name, max(price) as price, max(nReviews) as s from products group by id)
+select i.id, name, price, greatest(coalesce(s, 0), coalesce(d, 0))::bigint as n_reviews from i left join a using (id) left join d on d.product = i.id where kind = 'product' and i.id is not null""")
+def crawl_graph_products(spark, sf_dir):
+    return _graph(spark, sf_dir).products.select("id", "name", "price", F.col("nReviews").alias("n_reviews"))
