@@ -114,7 +114,7 @@ def test_words(spark):
 
 @pytest.mark.parametrize("region", [20, 2])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, region):
-    monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "NEIGHBOURS", region)
     rng = random.Random(region)
     vocabulary = [f"w{i}" for i in range(400)] + ["the", "a", "of"] * 20
     texts = []
