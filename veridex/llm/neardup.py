@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import bounded, checkpoint, materialize
+from ..session import checkpoint, materialize
 from .text import with_once
 
 TREES = 10
@@ -23,6 +23,8 @@ SKETCH = 0.44  # share of sketched values in which a pair worth counting may dif
 #: how crowded the region is; in a family of more texts than this, neighbours link it to one group.
 NEIGHBOURS = 12
 _SIZE_BITS = 20  # of the second sketch word hold the number of words
+#: Bits of the mark of wanted texts, as a power of two: 16 MB.
+MARKS = 27
 #: Texts of a group per block; each pair of blocks is compared on its own.
 BLOCK = 200
 #: Words in at least this share of the texts are weighted by their frequency, all others alike. At most
@@ -175,6 +177,19 @@ def _within_groups(links: DataFrame, counted: DataFrame, least: float) -> DataFr
     return both.where(_agree(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _marked(df: DataFrame, hashed: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose hash may be in ``wanted`` (one column): all that are, few others, and none is moved.
+
+    A bitmap of 2^MARKS bits, the same size for any input, is built by a mergeable aggregate and broadcast; it lets more pass as it fills up.
+    """
+    at = lambda c: F.pmod(c, F.lit(2**MARKS))
+    bits = wanted.select(at(F.col(wanted.columns[0])).alias("x")).groupBy(F.expr("x div 32768").alias("__page")).agg(F.bitmap_construct_agg(F.expr("x % 32768")).alias("__bits"))  # at most 2^MARKS / 32768 rows of 4 KB
+    place = at(F.col(hashed))
+    met = df.withColumn("__page", F.floor(place / 32768)).withColumn("__at", place % 32768).join(F.broadcast(bits), "__page")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.withColumn("__byte", byte).where(F.expr("(shiftright(__byte, cast(__at % 8 as int)) & 1) = 1")).drop("__page", "__at", "__bits", "__byte")
+
+
 def _agree(least: float) -> Column:
     return F.size(F.array_intersect("wa", "wb")) >= F.lit(least) * F.greatest(F.size("wa"), F.size("wb"))
 
@@ -211,9 +226,9 @@ def near_duplicate_records(df: DataFrame, key: Column, words: Column, short: Col
     pairs = checkpoint(found.where("ka is null or kb is null or ka <> kb").select("a", "b"))  # versions of one key's text are no pair
 
     wanted = checkpoint(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct().join(texts.select("t", "raw"), "t"))
-    # few texts are wanted: they are broadcast if their size allows, so that no other text is moved or cut into words again
-    small = bounded(wanted.select(F.col("raw").alias("__raw"), F.col("t").alias("__t")), 1_000_000)
-    again = df.withColumn("__raw", F.xxhash64(*raw)).join(small, "__raw").select(F.col("__t").alias("t"), F.sort_array(words).alias("w"))
+    # few texts are wanted: hardly any other is moved or cut into words again
+    kept = _marked(df.withColumn("__raw", F.xxhash64(*raw)), "__raw", wanted.select("raw"))
+    again = kept.join(wanted.select(F.col("raw").alias("__raw"), F.col("t").alias("__t")), "__raw").select(F.col("__t").alias("t"), F.sort_array(words).alias("w"))
     numbered = again.select("t", F.transform("w", lambda x, i: F.hash(x, F.when(F.get("w", i - 1) == x, i - F.array_position("w", x)).otherwise(-1))).alias("w")).groupBy("t").agg(F.first("w").alias("w"))
     numbered = materialize(numbered)
     both = pairs.join(numbered.select(F.col("t").alias("a"), F.col("w").alias("wa")), "a").join(numbered.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b")
