@@ -80,7 +80,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("group").alias("review_id"), "member_id", F.col("helpful.yes").alias("helpful_yes"), F.col("helpful.total").alias("helpful_total"))
 
 
-@R.add("p4_found")
+# exact: texts that agree share one of their rarest words (each word with its number in the text), as many as may be lost and one
+_PLAIN = r"lower(replace(replace(regexp_replace({}, '<[/!a-zA-Z][^<>]*>|&#?\w{{1,8}};', ' ', 'g'), '''', ''), '’', ''))"
+_APART = r"[^a-z0-9À-\x{1fff}\x{2c00}-\x{2fdf}\x{3040}-\x{ffdc}]+"
+_P4 = rf"""
+with t as (select nullif(upper(regexp_extract(id, '(?i)(^|[^a-z0-9])(r[a-z0-9]{{10}})($|[^a-z0-9])', 2)), '') as rid,
+  list_filter(regexp_split_to_array({_PLAIN.format("concat_ws(' ', title, reviewTxt)")}, '{_APART}'), lambda x: x <> '') as w, len(list_filter(regexp_split_to_array({_PLAIN.format("coalesce(title, '')")}, '{_APART}'), lambda x: x <> '')) as o from reviews),
+b as (select distinct rid, list_sort(w) as w from t where rid is not null and len(w) - o >= 30 and len(w) > 0),
+g as (select w, row_number() over () as t from (select distinct w from b)), k as (select rid, t from b join g using (w)),
+u as (select t, len(w) as n, unnest(w) as x from g), v as (select t, n, x || ' ' || row_number() over (partition by t, x) as x from u),
+d as (select x, count(*) as df from v group by x), r as (select t, n, x, row_number() over (partition by t order by df, x) as r from v join d using (x)),
+c as (select distinct a.t as a, e.t as e, a.n as n, e.n as m from r a join r e on a.x = e.x and a.t < e.t where a.r <= a.n - ceil(0.7 * a.n) + 1 and e.r <= e.n - ceil(0.7 * e.n) + 1 and least(a.n, e.n) >= 0.7 * greatest(a.n, e.n)),
+h as (select c.a, c.e from c join v x on x.t = a join v y on y.t = e and x.x = y.x group by c.a, c.e having count(*) >= 0.7 * max(greatest(c.n, c.m))),
+l as (select a, e from h union all select t, t from g)
+select distinct least(x.rid, y.rid) as id_a, greatest(x.rid, y.rid) as id_b from l join k x on x.t = a join k y on y.t = e where x.rid <> y.rid"""
+
+
+@R.add("p4_found", _P4)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = table(spark, sf_dir, "reviews").select("id", "title", "reviewTxt")
     both = words(F.concat_ws(" ", "title", "reviewTxt"))
