@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import bounded, checkpoint
+from ..session import bounded, checkpoint, materialize
 from .text import with_once
 
 #: Levenshtein distance allowed by the length of the reference name, blanks and punctuation not counted. Beyond 2, the
@@ -100,8 +100,8 @@ def closest_names(typed: DataFrame, names: DataFrame) -> DataFrame:
     probes = cut.where("greatest(-s.no, n - L - (k - s.no)) <= least(s.no, n - L + (k - s.no))").select("t", "L", "n", "s", shift.alias("by"))
     probes = probes.where("s.start + by >= 1 and s.start + by + s.len - 1 <= n").select("t", "L", F.col("s.no").alias("no"), F.expr("substring(t, s.start + by, s.len)").alias("piece"))
     swapped = t.select("t", letters(F.col("t")).alias("s")).join(ref.where(F.col("L") >= SWAPS).select("name", "L", letters(F.col("name")).alias("s")), "s").select("t", "name", "L")
-    pairs = probes.join(pieces, ["L", "no", "piece"]).select("t", "name", "L").unionByName(swapped).distinct()
-    near = with_once(pairs, "dist", F.levenshtein("t", "name")).where(F.col("dist") <= MAX_EDITS)
+    pairs = probes.join(pieces, ["L", "no", "piece"]).select("t", "name", "L").unionByName(swapped)
+    near = with_once(pairs, "dist", F.levenshtein("t", "name")).where(F.col("dist") <= MAX_EDITS).distinct()
     far = F.when(F.col("dist") > 2, F.levenshtein(letters(F.col("t")), letters(F.col("name")))).otherwise(0)  # only these are weighed by their letters
     near = with_once(near, "others", far)
     good = (F.col("dist") <= _edits(F.col("L"))) & ((F.col("dist") <= 2) | ((F.col("dist") == 3) & (F.col("others") <= 2))) | ((F.col("L") >= SWAPS) & (F.col("others") == 0) & (F.col("dist") > 2))
@@ -120,7 +120,7 @@ def match_places(df: DataFrame, key: str, location: str, places: DataFrame) -> D
     place_id is 0. Null keys are kept. Any other columns of ``df`` are ignored; empty tables give an empty result or zeros only.
     """
     people = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{location}`").cast("string").alias("loc")).where(F.col("loc").rlike(r"(?U)[^\s]")).distinct()
-    people = people.withColumn("f", folded(F.col("loc")))
+    people = materialize(people.withColumn("f", folded(F.col("loc"))))
     texts = people.select("f").distinct().withColumn("w", _words(F.col("f")))
 
     town = places.select("place_id", "region_code", "country", F.explode(F.concat(F.array("city"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
