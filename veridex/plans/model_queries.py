@@ -273,6 +273,13 @@ def smooth_labels(spark, sf_dir):
     return H.smooth_labels(_labels(spark, sf_dir), _scores(spark, sf_dir), _projected(spark, sf_dir), 0.7)
 
 
+@R.add("older_hard_em")
+def older_hard_em(spark, sf_dir):
+    """The older model on the six-node graph: 8 restarts of 5 steps."""
+    nodes, e = V.small_graph(spark)
+    return H.older_hard_em(nodes.withColumn("a", F.col("id").cast("long")), e.select(F.col("u").cast("long"), F.col("v").cast("long"), "weight").withColumn("denom", F.lit(H.LEAST_DENOM)), 2, 8, 5)
+
+
 # --- evaluation ---
 
 
