@@ -120,6 +120,20 @@ def test_languages(spark):
     assert identify(df.limit(0), "id", "text", "lang").count() == 0
 
 
+def test_markup_and_address_are_evidence(spark):
+    rng = random.Random(5)
+    make = lambda lang, n: ". ".join(rng.choice(SENTENCES[lang]) for _ in range(n)) + ". "
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(SENTENCES))
+        page = f'<p lang="{lang}-XX">' if i % 2 else f"http://www.shop.example.{'us' if lang == 'en' else lang}/x "
+        rows.append((i, page + make(lang, 4), lang, f"h{i}"))  # as many hosts as documents
+    rows += [(1000, '<div class=x lang="de">zzyzx qwrtz</div>', None, None), (1001, "zzyzx qwrtz https://a.b.fr/c?d", None, None), (1002, "zzyzx qwrtz", None, "shop.example.de")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, host string")
+    got = {r.doc_id: r.lang for r in identify(df, "id", "text", "lang", "host").where("doc_id >= 1000").collect()}
+    assert got == {1000: "de", 1001: "fr", 1002: "de"}
+
+
 def test_labels(spark):
     labels = ["en", "EN ", "en-US", "es_419", "Deutsch", "ger", "und", "??", "", None, "ja", "русский"]
     df = spark.createDataFrame([(x,) for x in labels], "l string")

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -95,7 +96,8 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int = 2048) -> Dat
     full = F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).cast("int")
     cut = d.withColumn("full", full).withColumn("rest", F.when(F.col("size") > capacity, F.col("size") % capacity).otherwise(F.col("size")))
     whole = cut.where("full > 0").select("item", F.explode(F.expr("sequence(1, full)")).alias("part"), F.lit(capacity).cast("long").alias("size"))
-    whole = whole.select("item", "part", "size", F.concat(F.lit("w-"), F.col("item").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("container"))
+    again = F.row_number().over(W.partitionBy("item", "part").orderBy("size"))  # of full containers alone; the same names on every run
+    whole = whole.withColumn("again", again).select("item", "part", "size", F.concat_ws("-", F.lit("w"), "item", "part", "again").alias("container"))
     rest = checkpoint(cut.where("rest > 0").select("item", F.when(F.col("full") > 0, F.col("full") + 1).otherwise(0).alias("part"), F.col("rest").alias("size")))
 
     def streams(x: DataFrame, n: int) -> DataFrame:
