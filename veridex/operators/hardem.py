@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, passed_on
 from .graph import connected_components
 from .mixture import hashed_noise, ln_normal
 
@@ -63,8 +63,13 @@ def multinomial_parameters(labels: DataFrame, items: DataFrame, all_items: DataF
 
 
 def multinomial_scores(items: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(a, p, ll): sums over an author's items, repeated ones as often as held."""
-    return items.join(parameters, "x").groupBy("a", "p").agg(F.sum("log_p").alias("ll"))
+    """(a, p, ll): sums over an author's items, repeated ones as often as held.
+
+    An item's logarithms travel to its authors as one row, a value per cluster, and are taken apart there.
+    """
+    per = parameters.groupBy("x").agg(F.collect_list(F.struct("p", "log_p")).alias("of"))
+    met = items.select("a", "x").join(per, "x").select("a", "of").repartition("a")
+    return met.select("a", F.inline("of")).groupBy("a", "p").agg(F.sum("log_p").alias("ll"))
 
 
 def node_scores(labels: DataFrame, prior: DataFrame, *parts: DataFrame) -> DataFrame:
@@ -95,16 +100,17 @@ def smooth_labels(labels: DataFrame, scores: DataFrame, edges: DataFrame, tau: f
     """E-step for components too large for one task: coordinate ascent, each half of the nodes in turn (an approximation of the relaxation).
 
     A node takes the cluster of the largest score plus its neighbours' agreement; the lowest of equals. ``by`` names columns that ``labels`` and
-    ``scores`` have besides, such as the number of a restart.
+    ``scores`` have besides, such as the number of a restart. Every round reads scores and edges, so they are written once.
     """
     k = math.log(tau) - math.log(1 - tau)
+    scores, edges = passed_on(scores), passed_on(edges.select("u", "v", "weight"))
     both = edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     for i in range(rounds):
         near = both.join(labels.select(*by, F.col("a").alias("v"), F.col("z").alias("p")), "v").groupBy(*by, F.col("u").alias("a"), "p").agg((F.sum("weight") * k).alias("more"))
         total = scores.join(near, [*by, "a", "p"], "left").select(*by, "a", "p", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("x"))
         best = total.groupBy(*by, "a").agg(F.max_by("p", F.struct("x", -F.col("p"))).alias("new"))
         turn = F.pmod(F.xxhash64("a"), F.lit(2)) == i % 2
-        labels = checkpoint(labels.join(best, [*by, "a"], "left").select(*by, "a", F.when(turn, F.coalesce("new", "z")).otherwise(F.col("z")).alias("z")))
+        labels = passed_on(labels.join(best, [*by, "a"], "left").select(*by, "a", F.when(turn, F.coalesce("new", "z")).otherwise(F.col("z")).alias("z")))
     return labels
 
 

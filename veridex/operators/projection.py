@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, materialize
 from .graph import degrees, favorable
 
 DAY = 86_400
@@ -38,7 +38,7 @@ def member_projection(edges: DataFrame, window: int = WINDOW, star: float = 4.0,
     ``edges`` has m, p, t (seconds), star, one row per (m, p). ``keep`` names products that pass a gate. The weight is
     cnt over the larger favourable degree of both.
     """
-    good = checkpoint(favorable(edges, "star", star).select("m", "p", "t"))  # read for the pairs and for the degrees
+    good = materialize(favorable(edges, "star", star).select("m", "p", "t"))  # read for the pairs and for the degrees
     paired = good if keep is None else good.join(keep.select("p"), "p", "left_semi")
     counted = close_pairs(paired, "p", "m", window).groupBy("u", "v").agg(F.count("*").alias("cnt")).where("cnt > 1")
     return _normalised(counted, degrees(good, "m"), F.greatest).withColumnsRenamed({"u": "m1", "v": "m2"})

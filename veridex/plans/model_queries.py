@@ -14,7 +14,7 @@ from ..operators import hardem as H
 from ..operators import information as I
 from ..operators import mixture as X
 from ..operators import projection as P
-from ..session import checkpoint, shared_folder, table
+from ..session import checkpoint, passed_on, shared_folder, table
 from ..sources import graphs, records
 from ..streaming import items as S
 from .data_quality import reviews_utc
@@ -269,8 +269,13 @@ def labelled_nodes(spark, sf_dir):
 
 @R.add("smooth_labels")
 def smooth_labels(spark, sf_dir):
-    """The step for graphs of any size, from the fixed labelling."""
-    return H.smooth_labels(_labels(spark, sf_dir), _scores(spark, sf_dir), _projected(spark, sf_dir), 0.7)
+    """The step for graphs of any size, from the fixed labelling. The favourable edges are found once and read by each part."""
+    e = passed_on(edges(spark, sf_dir).where("star >= 4"))
+    pairs = passed_on(P.member_projection(e, 30 * P.DAY).select(F.col("m1").alias("u"), F.col("m2").alias("v"), "weight"))
+    held = e.select(F.col("m").alias("a"), F.col("p").alias("x"))
+    labels = passed_on(held.select("a", (F.col("a") % 5).alias("z")).distinct())
+    scores = H.node_scores(labels, H.prior_parameters(labels).drop("n"), H.multinomial_scores(held, H.multinomial_parameters(labels, held)))
+    return H.smooth_labels(labels, scores, pairs, 0.7)
 
 
 @R.add("older_hard_em")

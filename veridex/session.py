@@ -40,6 +40,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lets Spark remove a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def passed_on(df: DataFrame) -> DataFrame:
+    """As :func:`materialize`, and the shuffle files that it took go at once, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (shuffle join)."""
     few = df.limit(rows + 1).count() <= rows
