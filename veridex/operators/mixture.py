@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, passed_on
 from .graph import without_isolated
 
 #: Stands for the probability zero, so that its logarithm is finite.
 TINY = 1e-300
+#: Memory of a restart (8 bytes an edge, six arrays over nodes and clusters) up to which it is solved within one task.
+TASK_BYTES = 400_000_000
+#: Edges in a packed row.
+PACKED = 1_000_000
 
 
 def hashed_noise(*cols: Column, seed: int = 0) -> Column:
@@ -81,13 +89,111 @@ def length_terms(lengths: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame
     return var, added
 
 
+# --- one restart, within a task ---
+
+
+def run_restart(chunks: list[tuple[np.ndarray, np.ndarray]], n: int, pi: np.ndarray, theta: np.ndarray, iterations: int) -> tuple[float, np.ndarray]:
+    """(log-likelihood, clusters of the ``n`` nodes i) after ``iterations`` steps from (r,) ``pi`` and (r, j) ``theta``; ``chunks`` are edges, as numbers (i, j)."""
+    parts, m = theta.shape
+    ln = lambda x: np.log(np.maximum(x, TINY))
+    q = np.zeros((parts, n))
+    for _ in range(iterations):
+        logs = ln(theta)
+        q[:] = ln(pi)[:, None]
+        for i, j in chunks:
+            for r in range(parts):
+                q[r] += np.bincount(i, logs[r][j], n)
+        q -= q.max(0)
+        np.exp(q, out=q)
+        q /= q.sum(0)
+        pi, theta = q.mean(1), np.zeros((parts, m))
+        for i, j in chunks:
+            for r in range(parts):
+                theta[r] += np.bincount(j, q[r][i], m)
+        s = theta.sum(1, keepdims=True)
+        theta /= np.where(s == 0, 1.0, s)
+    g = q.argmax(0)
+    logs = ln(theta)
+    return float(ln(pi)[g].sum() + sum(logs[g[i], j].sum() for i, j in chunks)), g
+
+
+def _numbered(ids: DataFrame, name: str, at: str) -> DataFrame:
+    """(name, at): the distinct ids that are not null, numbered from 0 without gaps."""
+    t = passed_on(ids.where(F.col(name).isNotNull()).distinct().withColumn(at, F.monotonically_increasing_id()))
+    part, before, rows = F.shiftright(at, 33), 0, []
+    for r in t.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
+        rows.append((r.part, before))
+        before += r.n
+    starts = F.broadcast(ids.sparkSession.createDataFrame(rows, "part long, before long"))
+    return t.withColumn("part", part).join(starts, "part").select(name, (F.col("before") + F.col(at).bitwiseAND((1 << 33) - 1)).alias(at))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def row() -> pa.RecordBatch:
+        both = np.concatenate(held, axis=1)
+        held.clear()
+        return pa.RecordBatch.from_pydict({"e": pa.array([both.tobytes()], pa.binary())})
+
+    for b in batches:
+        held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]).astype(np.int32))
+        if sum(x.shape[1] for x in held) >= PACKED:
+            yield row()
+    if held:
+        yield row()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for g, ll in zip(b.column(0), b.column(1), strict=True):
+            all_g = np.frombuffer(g.as_buffer(), np.int32)
+            for k in range(0, len(all_g), 100_000):
+                part = all_g[k : k + 100_000]
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(k, k + len(part))), "cluster": pa.array(part), "ll": pa.array(np.full(len(part), ll.as_py()))})
+
+
+def _cluster_in_tasks(edges: DataFrame, left: DataFrame, right: DataFrame, n: int, m: int, clusters: int, iterations: int, runs: int, seed: int) -> DataFrame:
+    """:func:`cluster` with a restart a task: the edges go to each as packed pairs of numbers, never through the driver."""
+    spark = edges.sparkSession
+    # a key for each restart that falls into a partition of its own
+    keys = [r.k for r in spark.range(64 * runs).groupBy(F.pmod(F.hash("id"), F.lit(runs)).alias("s")).agg(F.min("id").alias("k")).orderBy("s").collect()]
+    assert len(keys) == runs
+    of = F.broadcast(spark.createDataFrame(list(zip(range(runs), keys, strict=True)), "run int, key long"))
+    first = {(r.run, r.r): r.pi for r in initial_parameters(edges, clusters, runs, seed)[0].collect()}  # a row per restart and cluster
+    packed = passed_on(edges.join(left, "i").join(right, "j").select("i_at", "j_at").mapInArrow(_packed, "e binary"))
+    noise = [(1 + hashed_noise("run", F.lit(r), "j", seed=seed + 1)).alias(f"x{r}") for r in range(clusters)]
+    starts = right.join(of).select("key", "run", "j_at", *noise)
+
+    def solve(e: pa.Table, x: pa.Table) -> pa.Table:
+        chunks = [np.frombuffer(v.as_buffer(), np.int32).reshape(2, -1) for c in e["e"].chunks for v in c]
+        run, at = x["run"][0].as_py(), x["j_at"].to_numpy()
+        theta = np.zeros((clusters, m))
+        for r in range(clusters):
+            theta[r, at] = x[f"x{r}"].to_numpy()
+        theta /= theta.sum(1, keepdims=True)
+        ll, g = run_restart([(c[0], c[1]) for c in chunks], n, np.array([first[run, r] for r in range(clusters)]), theta, iterations)
+        return pa.table({"run": pa.array([run], pa.int32()), "ll": [ll], "g": pa.array([g.astype(np.int32).tobytes()], pa.binary())})
+
+    each = packed.join(of.select(F.col("key").alias("to"))).repartition(runs, "to")  # a copy per restart
+    found = passed_on(each.groupBy("to").cogroup(starts.repartition(runs, "key").groupBy("key")).applyInArrow(solve, "run int, ll double, g binary"))
+    best = found.orderBy(F.desc("ll"), "run").limit(1).select("g", "ll").mapInArrow(_unpacked, "at long, cluster int, ll double")
+    return left.join(best.withColumnRenamed("at", "i_at"), "i_at").select("i", "cluster", "ll")
+
+
 def cluster(edges: DataFrame, clusters: int, iterations: int = 10, runs: int = 6, seed: int = 0, lengths: DataFrame | None = None) -> DataFrame:
     """(i, cluster, ll): the restart of the largest likelihood, the earlier of equals.
 
     ``edges`` has i (clustered) and j (linked to); an undirected graph is given in both directions. ``lengths`` adds log review
-    lengths to the exponents, but not to the likelihood that picks the restart.
+    lengths to the exponents, but not to the likelihood that picks the restart. Edges without both ends are left out. A restart is solved
+    within one task where the size of the graph is checked to allow, else all restarts in one dataflow.
     """
-    edges = checkpoint(edges.select("i", "j"))
+    edges = passed_on(edges.select("i", "j").where("i is not null and j is not null"))
+    if lengths is None:
+        left, right = _numbered(edges.select("i"), "i", "i_at"), _numbered(edges.select("j"), "j", "j_at")
+        n, m = left.count(), right.count()
+        if 8 * edges.count() + 48 * clusters * (n + m) <= TASK_BYTES and n and iterations:
+            return _cluster_in_tasks(edges, left, right, n, m, clusters, iterations, runs, seed)
     pi, theta = initial_parameters(edges, clusters, runs, seed)
     q, extra = None, None
     if lengths is not None:
@@ -107,6 +213,7 @@ def cluster(edges: DataFrame, clusters: int, iterations: int = 10, runs: int = 6
 
 def cluster_bipartite(edges: DataFrame, left: int, right: int, iterations: int = 10, runs: int = 6, seed: int = 0) -> DataFrame:
     """(part, id, cluster): each side clustered by its links to the other; the right side's clusters count on from the left's."""
+    edges = passed_on(edges.select("u", "v"))  # read for either side
     a = cluster(edges.select(F.col("u").alias("i"), F.col("v").alias("j")), left, iterations, runs, seed).select(F.lit(1).alias("part"), F.col("i").alias("id"), "cluster")
     b = cluster(edges.select(F.col("v").alias("i"), F.col("u").alias("j")), right, iterations, runs, seed).select(F.lit(2).alias("part"), F.col("i").alias("id"), (F.col("cluster") + left).alias("cluster"))
     return a.unionByName(b)
